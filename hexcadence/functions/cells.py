@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the grid.
@@ -37,16 +37,32 @@ def fractional_axial(x: Column, y: Column, res: int) -> tuple[Column, Column]:
     return q, r
 
 
-def cube_round(q: Column, r: Column) -> Column:
-    """Nearest hexagon centre of fractional axial coordinates, as ``struct<q, r>``."""
+def with_nearest_cell(df: DataFrame, q: Column, r: Column, out: str) -> DataFrame:
+    """Add ``out: struct<q, r>``, the nearest hexagon centre of fractional axial coordinates.
+
+    The steps are separate projections, and the result passes through a one-element ``explode``:
+    without that barrier a filter on a coarse cell would be rewritten into one expression over all
+    finer levels, which grows exponentially.
+    """
     half = F.lit(0.5)
-    rq, rr, rs = F.floor(q + half), F.floor(r + half), F.floor(-q - r + half)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs + q + r)
+    fq, fr = F.col("_fq"), F.col("_fr")
+    staged = df.withColumns({"_fq": q, "_fr": r}).withColumns(
+        {"_rq": F.floor(fq + half), "_rr": F.floor(fr + half), "_rs": F.floor(-fq - fr + half)}
+    )
+    rq, rr, rs = F.col("_rq"), F.col("_rr"), F.col("_rs")
+    staged = staged.withColumns(
+        {"_dq": F.abs(rq - fq), "_dr": F.abs(rr - fr), "_ds": F.abs(rs + fq + fr)}
+    )
+    dq, dr, ds = F.col("_dq"), F.col("_dr"), F.col("_ds")
     q_worst = (dq > dr) & (dq > ds)
-    return F.struct(
-        F.when(q_worst, -rr - rs).otherwise(rq).cast("bigint").alias("q"),
-        F.when(~q_worst & (dr > ds), -rq - rs).otherwise(rr).cast("bigint").alias("r"),
+    new_q = F.when(q_worst, -rr - rs).otherwise(rq).cast("bigint")
+    new_r = F.when(~q_worst & (dr > ds), -rq - rs).otherwise(rr).cast("bigint")
+    # Coordinates are known here; saying so lets later "is not null" filters fold away.
+    nearest = F.struct(
+        F.coalesce(new_q, F.lit(0)).alias("q"), F.coalesce(new_r, F.lit(0)).alias("r")
     )
+    keep = [c for c in df.columns if c != out]
+    return staged.select(*keep, F.explode(F.array(nearest)).alias(out))
 
 
 def centre_xy(cell: Column, res: int) -> tuple[Column, Column]:
@@ -56,9 +72,7 @@ def centre_xy(cell: Column, res: int) -> tuple[Column, Column]:
 
 
 def cell_text(cell: Column, res: int) -> Column:
-    return F.when(
-        cell.isNotNull(), F.concat(F.lit(f"{res}:"), cell["q"], F.lit(":"), cell["r"])
-    )
+    return F.concat(F.lit(f"{res}:"), cell["q"].cast("string"), F.lit(":"), cell["r"].cast("string"))
 
 
 def axial_of(cell_id: Column | str) -> tuple[Column, Column, Column]:

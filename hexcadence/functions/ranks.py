@@ -18,7 +18,7 @@ BUCKETS = 256
 
 
 def value_histogram(
-    df: DataFrame, value: str, groups: Sequence[str] = (), freq: str = "freq"
+    df: DataFrame, value: str, groups: Sequence[str] = (), freq: str = "n_rows"
 ) -> DataFrame:
     """One row per distinct value (and group) with its row count; nulls are left out."""
     return (
@@ -31,7 +31,8 @@ def value_histogram(
 def _bucket(hist: DataFrame, value: str, buckets: int) -> Column:
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = hist.select(F.percentile_approx(value, probs, F.lit(10000))).scalar()
-    return F.size(F.filter(edges, lambda e: e < F.col(value)))
+    # Edges below the value: its place in the sorted edges.
+    return F.array_position(F.sort_array(F.array_append(edges, F.col(value))), F.col(value))
 
 
 def running_totals(
@@ -97,7 +98,7 @@ def exact_quantiles(
     """
     groups = list(groups)
     hist = df if freq else value_histogram(df, value, groups)
-    f = freq or "freq"
+    f = freq or "n_rows"
     ranked = running_totals(hist, value, {"_before": f}, groups)
     total = hist.groupBy(*groups).agg(F.sum(f).alias("_n"))
     if groups:
@@ -123,12 +124,12 @@ def kth_smallest(df: DataFrame, value: str, groups: Sequence[str], share: float)
     """Per group the value at rank ``round(share * n)``; rows up to it are that share."""
     groups = list(groups)
     hist = value_histogram(df, value, groups)
-    ranked = running_totals(hist, value, {"_before": "freq"}, groups)
-    total = hist.groupBy(*groups).agg(F.sum("freq").alias("_n"))
+    ranked = running_totals(hist, value, {"_before": "n_rows"}, groups)
+    total = hist.groupBy(*groups).agg(F.sum("n_rows").alias("_n"))
     want = F.round(F.col("_n") * F.lit(float(share))).cast("bigint")
     return (
         ranked.join(total, groups)
-        .where((F.col("_before") < want) & (want <= F.col("_before") + F.col("freq")))
+        .where((F.col("_before") < want) & (want <= F.col("_before") + F.col("n_rows")))
         .select(*groups, F.col(value).alias("cut"))
     )
 

@@ -145,12 +145,12 @@ def unpivot_cube_keys(
     """Rows (resolution, cell, freq, bin[, value]) for every resolution and frequency."""
     cell_items = F.array(
         *[
-            F.struct(F.lit(r).alias("resolution"), F.col(c).cast("string").alias("cell"))
+            F.named_struct(F.lit("resolution"), F.lit(r), F.lit("cell"), F.col(c).cast("string"))
             for r, c in cells.items()
         ]
     )
     bin_items = F.array(
-        *[F.struct(F.lit(f).alias("freq"), b.alias("time_bin")) for f, b in bins.items()]
+        *[F.named_struct(F.lit("freq"), F.lit(f), F.lit("time_bin"), b) for f, b in bins.items()]
     )
     base = [F.col(k) for k in keep] + ([F.col(value)] if value else [])
     names = [*keep, *([value] if value else [])]

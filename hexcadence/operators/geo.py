@@ -199,33 +199,27 @@ def with_cells(
 ) -> DataFrame:
     """Cell at the finest resolution and, from its centre upward, every coarser parent.
 
-    Rows without both coordinates are left out.  Each level is its own projection, so the
-    expression grows linearly with the number of levels.
+    Rows without both coordinates are left out.
     """
     levels = sorted(set(resolutions), reverse=True)
     la, lo = _num(lat), _num(lon)
     out = df.where(la.isNotNull() & lo.isNotNull())
-    x, y = C.plane_xy(la, lo)
-    q, r = C.fractional_axial(x, y, levels[0])
-    out = out.withColumns({"_q": q, "_r": r})
-    out = out.withColumn(f"_c{levels[0]}", C.cube_round(F.col("_q"), F.col("_r")))
+    q, r = C.fractional_axial(*C.plane_xy(la, lo), levels[0])
+    out = C.with_nearest_cell(out, q, r, f"_c{levels[0]}")
     for child, parent in zip(levels, levels[1:]):
-        cx, cy = C.centre_xy(F.col(f"_c{child}"), child)
-        q, r = C.fractional_axial(cx, cy, parent)
-        out = out.withColumns({"_q": q, "_r": r})
-        out = out.withColumn(f"_c{parent}", C.cube_round(F.col("_q"), F.col("_r")))
+        q, r = C.fractional_axial(*C.centre_xy(F.col(f"_c{child}"), child), parent)
+        out = C.with_nearest_cell(out, q, r, f"_c{parent}")
     out = out.withColumns({f"{prefix}{n}": C.cell_text(F.col(f"_c{n}"), n) for n in levels})
-    return out.drop("_q", "_r", *[f"_c{n}" for n in levels])
+    return out.drop(*[f"_c{n}" for n in levels])
 
 
 def parent_cell(df: DataFrame, cell: str, child_res: int, parent_res: int, out: str) -> DataFrame:
-    """Parent of a cell column, found from the child's centre."""
+    """Parent of a cell column, found from the child's centre; rows without a cell are left out."""
     _, q, r = C.axial_of(cell)
     cx, cy = C.centre_xy(F.struct(q.alias("q"), r.alias("r")), child_res)
-    fq, fr = C.fractional_axial(cx, cy, parent_res)
-    staged = df.withColumns({"_q": fq, "_r": fr})
-    rounded = staged.withColumn("_c", C.cube_round(F.col("_q"), F.col("_r")))
-    return rounded.withColumn(out, C.cell_text(F.col("_c"), parent_res)).drop("_q", "_r", "_c")
+    known = df.where(F.col(cell).isNotNull())
+    found = C.with_nearest_cell(known, *C.fractional_axial(cx, cy, parent_res), "_c")
+    return found.withColumn(out, C.cell_text(F.col("_c"), parent_res)).drop("_c")
 
 
 def with_boundary(df: DataFrame, cell: str, out: str = "boundary") -> DataFrame:

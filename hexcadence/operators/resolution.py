@@ -77,7 +77,7 @@ def _from_moments(agg: DataFrame, groups: Sequence[str]) -> DataFrame:
 def base_stats(df: DataFrame, value: str) -> DataFrame:
     """One row of moments, quantiles and shares of a count column."""
     hist = value_histogram(df, value)
-    return _from_moments(hist.agg(*_moment_aggs(value, "freq")), []).drop("entropy")
+    return _from_moments(hist.agg(*_moment_aggs(value, "n_rows")), []).drop("entropy")
 
 
 def entropy(df: DataFrame, value: str, kind: str = "mass") -> DataFrame:
@@ -91,7 +91,7 @@ def entropy(df: DataFrame, value: str, kind: str = "mass") -> DataFrame:
             F.when(F.col("s") > 0, F.ln("s") - F.coalesce("xlogx", F.lit(0.0)) / F.col("s")).alias("entropy")
         )
     hist = value_histogram(df, value)
-    f = F.col("freq").cast("double")
+    f = F.col("n_rows").cast("double")
     sums = hist.agg(F.sum(f).alias("s"), F.sum(f * F.ln(f)).alias("xlogx"))
     return sums.select((F.ln("s") - F.col("xlogx") / F.col("s")).alias("entropy"))
 
@@ -103,12 +103,12 @@ def gini(df: DataFrame, value: str, zero_sum: float | None = None) -> DataFrame:
     by row.
     """
     hist = value_histogram(df.where(F.col(value) >= 0), value)
-    ranked = running_totals(hist, value, {"before": "freq"})
+    ranked = running_totals(hist, value, {"before": "n_rows"})
     return _gini(ranked, value, [], zero_sum)
 
 
 def _gini(ranked: DataFrame, value: str, groups: Sequence[str], zero_sum: float | None = None) -> DataFrame:
-    f, c = F.col("freq").cast("double"), F.col("before").cast("double")
+    f, c = F.col("n_rows").cast("double"), F.col("before").cast("double")
     v = F.col(value).cast("double")
     sums = ranked.groupBy(*groups).agg(
         F.sum(f).alias("_n"),
@@ -164,7 +164,7 @@ def cell_activity(df: DataFrame, cell: str, value: str) -> DataFrame:
 def _mean_median(per_cell: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """Mean and exact median of a per-cell column, by value histogram."""
     hist = value_histogram(per_cell, column, groups)
-    f = F.col("freq")
+    f = F.col("n_rows")
     return hist.groupBy(*groups).agg(
         (F.sum(F.col(column) * f) / F.sum(f)).cast("double").alias(f"{column}_mean"),
         F.percentile(column, F.lit(0.5), f).alias(f"{column}_median"),
@@ -298,16 +298,16 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     ).withColumn("zero_rows", n_cells * n_bins - F.col("non_zero_rows"))
 
     # Value histogram of the dense grid: observed counts plus one row for all the zeros.
-    hist = rows.groupBy(*choice, "n").agg(F.count(F.lit(1)).alias("freq"))
+    hist = rows.groupBy(*choice, "n").agg(F.count(F.lit(1)).alias("n_rows"))
     zeros = cells_agg.where(F.col("zero_rows") > 0).select(
-        *choice, F.lit(0).cast("bigint").alias("n"), F.col("zero_rows").alias("freq")
+        *choice, F.lit(0).cast("bigint").alias("n"), F.col("zero_rows").alias("n_rows")
     )
     hist = hist.unionByName(zeros)
-    stats = _from_moments(hist.groupBy(*choice).agg(*_moment_aggs("n", "freq")), choice)
+    stats = _from_moments(hist.groupBy(*choice).agg(*_moment_aggs("n", "n_rows")), choice)
     # Distinct counts per choice number at most sqrt(2 x events): a small window.
     before = Window.partitionBy(*choice).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     ginis = _gini(
-        hist.withColumn("before", F.coalesce(F.sum("freq").over(before), F.lit(0))), "n", choice
+        hist.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0))), "n", choice
     )
     parts = [
         stats,

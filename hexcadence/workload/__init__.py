@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = (
     "time_cube",
+    "geo_cells",
+    "resolution_metrics",
 )
 
 

@@ -43,7 +43,7 @@ def query(name: str, cols: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            picked = ", ".join(f'{_SQL[t].format(c=c)} AS {c}' for c, t in spec)
+            picked = ", ".join(_SQL[t].format(c=f'"{c}"') + f' AS "{c}"' for c, t in spec)
             ORACLES[name] = f"SELECT {picked} FROM ({sql}) AS result"
         return fn
 
