@@ -8,6 +8,10 @@ MODULES = (
     "time_cube",
     "geo_cells",
     "resolution_metrics",
+    "quality_checks",
+    "cleaning",
+    "flags_graph",
+    "model_evaluation",
 )
 
 
