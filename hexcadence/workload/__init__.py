@@ -12,6 +12,7 @@ MODULES = (
     "cleaning",
     "flags_graph",
     "model_evaluation",
+    "models",
 )
 
 

@@ -11,7 +11,7 @@ from hexcadence.workload.base import query, table
 _PRED = """
   SELECT event_id, CAST(value > 50 AS INTEGER) AS y_true, m.model,
     CASE WHEN m.model = 'first' THEN event_id * 37 % 1000 / 1e3
-         ELSE least(value / 200e0, 1e0) * 0.5e0 + event_id * 53 % 1000 / 2e3 END AS y_proba
+         ELSE least(sqrt(abs(value)) / 15e0, 1e0) * 0.5e0 + event_id * 53 % 1000 / 2e3 END AS y_proba
   FROM events CROSS JOIN (SELECT unnest(['first', 'second']) AS model) m
 """
 _LABELLED = f"SELECT *, CAST(y_proba >= 0.5 AS INTEGER) AS y_pred FROM ({_PRED}) AS p"
@@ -20,7 +20,7 @@ _LABELLED = f"SELECT *, CAST(y_proba >= 0.5 AS INTEGER) AS y_pred FROM ({_PRED})
 def predictions(spark, d):
     i = F.col("event_id")
     first = i * 37 % 1000 / F.lit(1e3)
-    second = F.least(F.col("value") / F.lit(200.0), F.lit(1.0)) * 0.5 + i * 53 % 1000 / F.lit(2e3)
+    second = F.least(F.sqrt(F.abs("value")) / F.lit(15.0), F.lit(1.0)) * 0.5 + i * 53 % 1000 / F.lit(2e3)
     pairs = F.array(
         F.named_struct(F.lit("model"), F.lit("first"), F.lit("y_proba"), first),
         F.named_struct(F.lit("model"), F.lit("second"), F.lit("y_proba"), second),
