@@ -41,47 +41,44 @@ def running_totals(
     sums: dict[str, str],
     groups: Sequence[str] = (),
     descending: bool = False,
+    totals: dict[str, str] | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add exclusive cumulative sums of ``sums`` (output -> input) in the order of ``value``.
 
-    ``hist`` must hold one row per (groups, value).
+    ``hist`` must hold one row per (groups, value).  ``totals`` (output -> input) adds sums over the
+    whole group.  The histogram with its bucket numbers is checkpointed once, because the bucket
+    totals and the cumulative sums both read it.
     """
-    groups = list(groups)
-    cut = hist.withColumn("_bucket", _bucket(hist, value, buckets))
+    groups, totals = list(groups), totals or {}
+    cut = materialise(hist.withColumn("_bucket", _bucket(hist, value, buckets)))
     order = F.col(value).desc() if descending else F.col(value).asc()
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
 
-    before_bucket = Window.partitionBy(*groups).orderBy(bucket_order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # At most `buckets` rows per group reach this window.
-    totals = (
+    in_group = Window.partitionBy(*groups)
+    before_bucket = in_group.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    # At most `buckets` rows per group reach these windows.
+    offsets = (
         cut.groupBy(*groups, "_bucket")
-        .agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
+        .agg(
+            *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()],
+            *[F.sum(src).alias(f"_g_{out}") for out, src in totals.items()],
+        )
         .select(
             *groups,
             "_bucket",
-            *[
-                F.coalesce(F.sum(f"_t_{out}").over(before_bucket), F.lit(0)).alias(f"_b_{out}")
-                for out in sums
-            ],
+            *[F.coalesce(F.sum(f"_t_{out}").over(before_bucket), F.lit(0)).alias(f"_b_{out}") for out in sums],
+            *[F.sum(f"_g_{out}").over(in_group).alias(out) for out in totals],
         )
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     ranked = cut.select(
-        "*",
-        *[
-            F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_i_{out}")
-            for out, src in sums.items()
-        ],
+        "*", *[F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_i_{out}") for out, src in sums.items()]
     )
-    joined = ranked.join(totals, [*groups, "_bucket"])
-    keep = [c for c in hist.columns]
-    return joined.select(
-        *keep, *[(F.col(f"_b_{out}") + F.col(f"_i_{out}")).alias(out) for out in sums]
+    return ranked.join(offsets, [*groups, "_bucket"]).select(
+        *hist.columns, *[(F.col(f"_b_{out}") + F.col(f"_i_{out}")).alias(out) for out in sums], *totals
     )
 
 
@@ -99,23 +96,31 @@ def exact_quantiles(
     groups = list(groups)
     hist = df if freq else value_histogram(df, value, groups)
     f = freq or "n_rows"
-    ranked = running_totals(hist, value, {"_before": f}, groups)
-    total = hist.groupBy(*groups).agg(F.sum(f).alias("_n"))
-    if groups:
-        sized = ranked.join(total, groups)
-    else:
-        sized = ranked.withColumn("_n", total.select("_n").scalar())
-    # A value covers the ranks [_before, _before + freq); test each probability against it.
-    prob = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    probed = sized.select(*groups, value, "_before", f, "_n", prob.alias("prob"))
-    pos = F.col("prob") * (F.col("_n") - 1).cast("double")
+    ranked = running_totals(hist, value, {"_before": f}, groups, totals={"_n": f})
+    # A value covers the ranks [_before, _before + freq); keep the probabilities that fall on it.
     first, last = F.col("_before"), F.col("_before") + F.col(f) - 1
+
+    def position(p):
+        return p * (F.col("_n") - 1).cast("double")
+
+    def touches(p):
+        low, high = F.floor(position(p)), F.ceil(position(p))
+        return ((low >= first) & (low <= last)) | ((high >= first) & (high <= last))
+
+    probed = ranked.select(
+        *groups,
+        value,
+        "_before",
+        f,
+        "_n",
+        F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probs]), touches)).alias("prob"),
+    )
+    pos = position(F.col("prob"))
     low, high = F.floor(pos), F.ceil(pos)
-    hits = probed.where(((low >= first) & (low <= last)) | ((high >= first) & (high <= last)))
     lo_val = F.max(F.when((low >= first) & (low <= last), F.col(value)))
     hi_val = F.max(F.when((high >= first) & (high <= last), F.col(value)))
     frac = F.max(pos - low)
-    return hits.groupBy(*groups, "prob").agg(
+    return probed.groupBy(*groups, "prob").agg(
         (lo_val + (hi_val - lo_val) * frac).cast("double").alias("quantile")
     )
 
@@ -124,14 +129,11 @@ def kth_smallest(df: DataFrame, value: str, groups: Sequence[str], share: float)
     """Per group the value at rank ``round(share * n)``; rows up to it are that share."""
     groups = list(groups)
     hist = value_histogram(df, value, groups)
-    ranked = running_totals(hist, value, {"_before": "n_rows"}, groups)
-    total = hist.groupBy(*groups).agg(F.sum("n_rows").alias("_n"))
+    ranked = running_totals(hist, value, {"_before": "n_rows"}, groups, totals={"_n": "n_rows"})
     want = F.round(F.col("_n") * F.lit(float(share))).cast("bigint")
-    return (
-        ranked.join(total, groups)
-        .where((F.col("_before") < want) & (want <= F.col("_before") + F.col("n_rows")))
-        .select(*groups, F.col(value).alias("cut"))
-    )
+    return ranked.where(
+        (F.col("_before") < want) & (want <= F.col("_before") + F.col("n_rows"))
+    ).select(*groups, F.col(value).alias("cut"))
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:

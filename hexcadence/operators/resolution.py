@@ -19,6 +19,7 @@ from hexcadence.functions import timefn as T
 from hexcadence.functions.ranks import exact_quantiles, running_totals, value_histogram
 from hexcadence.functions.stats import safe_corr
 from hexcadence.operators import cube
+from hexcadence.session import materialise
 
 # The reported quantiles and the weights of the composite scores.
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
@@ -212,6 +213,8 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     Equals the dense functions on the grid of active cells x observed bins.
     """
     choice = ["resolution", "freq"]
+    # The counts feed two branches and the per-cell rows six: each is computed once.
+    counts = materialise(counts)
     bin_keys = counts.select("freq", "resolution", "time_bin").distinct()
     by_choice = Window.partitionBy(*choice)
     # Bounded by the calendar: one row per choice and bin.
@@ -271,7 +274,7 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     cov = F.col("cross") - F.try_divide(sx * sp, m)
     tiny = F.lit(1e-9)
     corr = F.when((m >= 3) & (vx > tiny) & (vp > tiny), cov / F.sqrt(vx * vp))
-    per_cell = per_cell.select(
+    per_cell = materialise(per_cell.select(
         *choice,
         "cell",
         "b",
@@ -281,7 +284,7 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
         (F.col("active_bins") * F.col("median_non_zero")).alias("event_intensity"),
         corr.alias("corr"),
         (F.col("change") + F.when(F.col("i_first") > 1, F.col("n_first")).otherwise(0)).alias("change"),
-    )
+    ))
 
     cells_agg = per_cell.groupBy(*choice).agg(
         F.count(F.lit(1)).alias("n_unique_cells"),

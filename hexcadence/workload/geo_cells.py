@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from hexcadence.functions import cells as C
-from hexcadence.operators import geo
+from hexcadence.operators import clusters, geo
 from hexcadence.workload.base import BROKEN_EVENTS, PLACED_EVENTS, broken_events, placed_events, query, table
 
 _SCALE = math.cos(math.radians(C.STANDARD_LATITUDE))
@@ -355,3 +355,38 @@ def geojson_features(spark, d):
         "j.properties.resolution",
         "j.properties.value",
     )
+
+
+# --- spatial clusters ---------------------------------------------------------------------------
+
+# One street per user: places along a line, as far apart as the values of the user's events.
+_STREETS = """
+  SELECT event_id, 42e0 + user_id * 2e-2 + value * 1e-4 AS lat, 2e0 + (event_id % 3) * 1e-4 AS lon FROM events
+"""
+
+
+def street_events(spark, d):
+    e = table(spark, d, "events")
+    return e.select(
+        "event_id",
+        (F.lit(42.0) + F.col("user_id") * F.lit(2e-2) + F.col("value") * F.lit(1e-4)).alias("lat"),
+        (F.lit(2.0) + (F.col("event_id") % 3) * F.lit(1e-4)).alias("lon"),
+    )
+
+
+@query(
+    "spatial_clusters",
+    "n_members:i n_places:i min_lat:d max_lat:d min_lon:d max_lon:d",
+    f"""
+    WITH RECURSIVE p AS MATERIALIZED (SELECT lat, lon, count(*) AS n, row_number() OVER (ORDER BY lat, lon) AS id FROM ({_STREETS}) AS s GROUP BY lat, lon),
+    c AS MATERIALIZED (SELECT *, CAST(floor(lat / 5e-4) AS BIGINT) AS k FROM p),
+    e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM c a JOIN (SELECT *, unnest([k - 1, k, k + 1]) AS kk FROM c) b ON a.k = b.kk
+          WHERE (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) <= 5e-4 * 5e-4),
+    reach(id, root) AS (SELECT id, id FROM p UNION SELECT e.v, r.root FROM reach r JOIN e ON r.id = e.u AND e.v > r.root),
+    m AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+    SELECT sum(n) AS n_members, count(*) AS n_places, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon
+    FROM p JOIN m USING (id) GROUP BY root HAVING sum(n) >= 2
+    """,
+)
+def spatial_clusters(spark, d):
+    return clusters.spatial_clusters(street_events(spark, d), "lat", "lon")
