@@ -42,8 +42,13 @@ def is_missing(df: DataFrame, column: str) -> Column:
     return c.isNull()
 
 
-def _per_column(df: DataFrame, fields: dict[str, dict[str, Column]]) -> DataFrame:
-    """One aggregate over the table, shown as one row per column."""
+def _per_column(df: DataFrame, fields: dict[str, dict[str, Column]], metrics: str = "") -> DataFrame:
+    """One aggregate over the table, shown as one row per column.
+
+    ``metrics`` is the schema of the metrics for tables that have no such column.
+    """
+    if not fields:
+        return df.sparkSession.createDataFrame([], f"column string, {metrics}")
     rows = F.array(
         *[
             F.named_struct(F.lit("column"), F.lit(c), *[x for k, v in f.items() for x in (F.lit(k), v)])
@@ -82,7 +87,7 @@ def infinite_analysis(df: DataFrame) -> DataFrame:
     fields = {
         c: {"inf_count": F.count_if(F.abs(F.col(c).cast("double")) == inf)} for c in numeric_columns(df)
     }
-    return _per_column(df, fields).withColumn("flagged", F.col("inf_count") > 0)
+    return _per_column(df, fields, "inf_count bigint").withColumn("flagged", F.col("inf_count") > 0)
 
 
 def duplicate_analysis(
@@ -165,7 +170,7 @@ def top_values(
     order = F.col("n").asc() if least else F.col("n").desc()
     w = Window.partitionBy("column").orderBy(order, "value")
     top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    sizes = _per_column(df, {c: {"_total": F.count(c)} for c in columns})
+    sizes = _per_column(df, {c: {"_total": F.count(c)} for c in columns}, "_total bigint")
     return (
         top.join(F.broadcast(sizes), "column")  # one row per column
         .withColumn("share", ratio(F.col("n"), F.col("_total")))
@@ -212,7 +217,8 @@ def zero_inflation(df: DataFrame, threshold: float = ZERO_THRESHOLD) -> DataFram
         c: {"zero_ratio": F.avg(F.coalesce(F.col(c) == 0, F.lit(False)).cast("double"))}
         for c in numeric_columns(df)
     }
-    return _per_column(df, fields).withColumn("flagged", F.coalesce(F.col("zero_ratio") > threshold, F.lit(False)))
+    found = _per_column(df, fields, "zero_ratio double")
+    return found.withColumn("flagged", F.coalesce(F.col("zero_ratio") > threshold, F.lit(False)))
 
 
 def null_ratio(df: DataFrame, column: str) -> DataFrame:

@@ -397,6 +397,8 @@ DESCRIBE_QUANTILES = {
 
 def long_values(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
     """Rows (column, value) of several columns, nulls included."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"column string, value {as_type}")
     items = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value")) for c in columns]
     )
