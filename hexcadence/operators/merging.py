@@ -143,9 +143,9 @@ def merge_decision(a: DataFrame, b: DataFrame, expected_key: str | None = None)
     strategy, reason = F, F
     for cond, s, r in cases:
         strategy, reason = strategy.when(cond, s), reason.when(cond, r)
-    # A one-row frame keeps the answer when no key exists.
-    one = a.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    row = one.join(key.withColumn("_one", F.lit(1)), "_one", "left")
+    # At most one row comes in; the aggregate keeps an answer when no key exists.
+    needed = ["column", "uniqueness_a", "uniqueness_b", "overlap_vs_a", "overlap_vs_b", "n_rows_a", "n_rows_b"]
+    row = key.agg(*[F.max(c).alias(c) for c in needed])
     return row.select(
         strategy.otherwise("manual_review").alias("strategy"),
         reason.otherwise("partial overlap").alias("reason"),
