@@ -41,8 +41,7 @@ COORD_CLASSES = (
 
 def _num(c: str) -> Column:
     """Number of a column of any type; text that is no number, and NaN, are null."""
-    value = F.col(c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def coord_class(
@@ -188,7 +187,8 @@ def repair_scale(
         )
         for s in scales
     ]
-    fixed = df.withColumn("_fixed", F.coalesce(*tries))
+    # The one-element explode keeps the three tries from being copied into every later use.
+    fixed = df.withColumn("_fixed", F.explode(F.array(F.coalesce(*tries))))
     return fixed.withColumns(
         {out_lat: F.col("_fixed.lat"), out_lon: F.col("_fixed.lon")}
     ).drop("_fixed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,21 +190,20 @@ def datetime_candidates(df: DataFrame, order_by: str, sample: int = 100) -> Data
     Per column the best of the known formats is reported.
     """
     texts = text_columns(df)
-    long = (
-        df.select(F.col(order_by).alias("_key"), *[F.col(c).alias(f"_t_{c}") for c in texts])
-        .select(
-            "_key",
-            F.explode(
-                F.array(
-                    *[F.named_struct(F.lit("column"), F.lit(c), F.lit("value"), F.col(f"_t_{c}")) for c in texts]
-                )
-            ).alias("_i"),
-        )
-        .select("_key", "_i.column", "_i.value")
-        .where(F.col("value").isNotNull())
+    if not texts:
+        empty = "column string, success_ratio double, by_name boolean, candidate boolean"
+        return df.sparkSession.createDataFrame([], empty)
+    # A bounded heap per task and column; nothing is sorted as a whole.
+    first = reduce(
+        DataFrame.unionByName,
+        [
+            df.where(F.col(c).isNotNull())
+            .orderBy(order_by, c)
+            .limit(sample)
+            .select(F.lit(c).alias("column"), F.col(c).alias("value"))
+            for c in texts
+        ],
     )
-    w = Window.partitionBy("column").orderBy("_key", "value")
-    first = long.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= sample)
     rates = [F.avg(F.try_to_timestamp("value", F.lit(f)).isNotNull().cast("double")) for f in DATE_FORMATS]
     tested = first.groupBy("column").agg(F.greatest(*rates).alias("success_ratio"))
     by_name = F.lower("column").contains("date")

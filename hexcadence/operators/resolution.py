@@ -19,7 +19,7 @@ from hexcadence.functions import timefn as T
 from hexcadence.functions.ranks import exact_quantiles, running_totals, value_histogram
 from hexcadence.functions.stats import safe_corr
 from hexcadence.operators import cube
-from hexcadence.session import materialise
+from hexcadence.session import broadcast_if_small, materialise
 
 # The reported quantiles and the weights of the composite scores.
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
@@ -76,7 +76,11 @@ def _from_moments(agg: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def base_stats(df: DataFrame, value: str) -> DataFrame:
-    """One row of moments, quantiles and shares of a count column."""
+    """One row of moments, quantiles and shares of a count column.
+
+    Distinct counts are few (at most the square root of twice the events), so their exact quantiles
+    fit one buffer; use ``exact_quantiles`` for measured values.
+    """
     hist = value_histogram(df, value)
     return _from_moments(hist.agg(*_moment_aggs(value, "n_rows")), []).drop("entropy")
 
@@ -217,17 +221,17 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     counts = materialise(counts)
     bin_keys = counts.select("freq", "resolution", "time_bin").distinct()
     by_choice = Window.partitionBy(*choice)
-    # Bounded by the calendar: one row per choice and bin.
-    bins = bin_keys.select(
+    # One row per choice and bin; broadcast only if that is few enough (hourly bins may not be).
+    bins = materialise(bin_keys.select(
         *choice,
         "time_bin",
         F.row_number().over(by_choice.orderBy("time_bin")).alias("i"),
         F.count(F.lit(1)).over(by_choice).alias("b"),
-    )
+    ))
     by_cell = Window.partitionBy(*choice, "cell")
     in_order = by_cell.orderBy("i")
     rows = (
-        counts.join(F.broadcast(bins), [*choice, "time_bin"])
+        counts.join(broadcast_if_small(bins), [*choice, "time_bin"])
         .select(
             *choice,
             "cell",

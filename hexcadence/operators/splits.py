@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hexcadence.functions.ranks import dense_index, kth_smallest
 from hexcadence.functions.stats import stable_hash
+from hexcadence.session import broadcast_if_small, materialise
 
 TRAIN_SIZE = 0.7
 
@@ -101,6 +102,5 @@ def stratified_holdout(
     """
     hashed = df.withColumn("_h", stable_hash(key, seed=seed))
     cuts = kth_smallest(hashed, "_h", [label], share)
-    # One row per class.
-    joined = hashed.join(F.broadcast(cuts), label, "left")
+    joined = hashed.join(broadcast_if_small(materialise(cuts)), label, "left")
     return joined.withColumn(out, F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False))).drop("_h", "cut")
