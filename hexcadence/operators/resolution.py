@@ -68,6 +68,8 @@ def _from_moments(agg: DataFrame, groups: Sequence[str]) -> DataFrame:
         "max",
         "non_zero_count",
         (F.col("non_zero_count") / n).alias("non_zero_share"),
+        (F.col("rows") - F.col("non_zero_count")).alias("zero_count"),
+        ((F.col("rows") - F.col("non_zero_count")) / n).alias("zero_share"),
         # entropy of the mass: -sum p ln p with p = x / S  =  ln S - sum(x ln x) / S
         F.when(F.col("_s1") > 0, F.ln("_s1") - F.coalesce("_xlogx", F.lit(0.0)) / F.col("_s1")).alias(
             "entropy"

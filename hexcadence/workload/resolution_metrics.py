@@ -26,7 +26,7 @@ def _month_grid(spark, d):
 
 _STATS_COLS = (
     "rows:i sum:i min:i mean:d var:d std:d dispersion:d q25:d median:d q75:d q90:d q95:d q99:d max:i "
-    "non_zero_count:i non_zero_share:d"
+    "non_zero_count:i non_zero_share:d zero_count:i zero_share:d"
 )
 
 
@@ -36,7 +36,8 @@ def _stats_sql(prefix: str = "") -> str:
       count(*) AS rows, sum(n) AS sum, min(n) AS min, CASE WHEN avg(n) > 1e-6 THEN avg(n) END AS mean,
       var_samp(n) AS var, stddev_samp(n) AS std, CASE WHEN avg(n) > 1e-6 THEN var_samp(n) / avg(n) END AS dispersion,
       {qs}, max(n) AS max, count(*) FILTER (n <> 0) AS non_zero_count,
-      count(*) FILTER (n <> 0) / CAST(count(*) AS DOUBLE) AS non_zero_share
+      count(*) FILTER (n <> 0) / CAST(count(*) AS DOUBLE) AS non_zero_share,
+      count(*) FILTER (n = 0) AS zero_count, count(*) FILTER (n = 0) / CAST(count(*) AS DOUBLE) AS zero_share
     """
 
 

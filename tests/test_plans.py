@@ -31,6 +31,17 @@ def test_scan_reads_only_what_is_needed(spark):
     assert schemas and all("props" not in s and "event_type" not in s for s in schemas)
 
 
+@pytest.mark.parametrize("name", ["top_values", "rare_values", "coordinate_samples"])
+def test_top_n_is_cut_inside_the_tasks(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SF))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("name", ["top_rows", "random_sample", "datetime_candidates"])
+def test_limits_keep_a_heap_and_do_not_sort_everything(spark, name):
+    assert "TakeOrderedAndProject" in plan_of(entry.queries()[name](spark, SF))
+
+
 LAZY = sorted(
     set(entry.queries())
     - {
