@@ -188,6 +188,20 @@ def test_quantiles_and_ranks_with_ties_and_skew(spark):
         assert [got[g, p] for p in (0.0, 0.1, 0.5, 0.99, 1.0)] == pytest.approx(want)
 
 
+def test_quantiles_of_large_groups_use_brackets_and_stay_exact(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("rest").alias("g"),
+        F.when(F.col("id") % 5 == 0, F.lit(0.25)).otherwise(F.pmod(F.col("id") * 7919, F.lit(60_013)) / 60_013).alias("v"),
+    )
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.9995, 1.0]
+    near = ranks.histogram_near(df, "v", probs, ["g"])
+    assert near.count() < 0.2 * df.select("g", "v").distinct().count()
+    got = {(r.g, r.prob): r["quantile"] for r in ranks.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in ("hot", "rest"):
+        want = df.where(F.col("g") == g).agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+        assert [got[g, p] for p in probs] == pytest.approx(want, abs=1e-12)
+
+
 def test_dense_index_is_the_sorted_position(spark):
     df = spark.range(1000).select(F.xxhash64("id").alias("k"))
     got = [r.k for r in ranks.dense_index(df.repartition(7), ["k"], "i").orderBy("i").collect()]
