@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from hexcadence.session import broadcast_if_small, materialise
 
 BUCKETS = 256
-# Quantile brackets: the sketch errs by 1 / accuracy of the rows at most, a twentieth of the bracket.
-SKETCH_ACCURACY = 10_000
+# Histograms up to this many rows are cumulated in one window.
+SMALL_HISTOGRAM = 200_000
+# Quantile brackets: the sketch errs by 1 / accuracy of the rows at most, an eighth of the bracket.
+SKETCH_ACCURACY = 4_000
 BRACKET = 0.002
 SMALL_GROUP = 10_000
 
@@ -47,14 +49,26 @@ def running_totals(
     descending: bool = False,
     totals: dict[str, str] | None = None,
     buckets: int = BUCKETS,
+    small_rows: int = SMALL_HISTOGRAM,
 ) -> DataFrame:
     """Add exclusive cumulative sums of ``sums`` (output -> input) in the order of ``value``.
 
     ``hist`` must hold one row per (groups, value).  ``totals`` (output -> input) adds sums over the
-    whole group.  The histogram with its bucket numbers is checkpointed once, because the bucket
-    totals and the cumulative sums both read it.
+    whole group.  The histogram is checkpointed and counted: a small one needs no buckets, a larger
+    one is checkpointed with its bucket numbers, because bucket totals and cumulative sums both
+    read them.
     """
     groups, totals = list(groups), totals or {}
+    hist = materialise(hist)
+    if hist.limit(small_rows + 1).count() <= small_rows:
+        whole = Window.partitionBy(*groups)
+        row_order = F.col(value).desc() if descending else F.col(value).asc()
+        earlier = whole.orderBy(row_order).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(
+            *hist.columns,
+            *[F.coalesce(F.sum(src).over(earlier), F.lit(0)).alias(out) for out, src in sums.items()],
+            *[F.sum(src).over(whole).alias(out) for out, src in totals.items()],
+        )
     cut = materialise(hist.withColumn("_bucket", _bucket(hist, value, buckets)))
     order = F.col(value).desc() if descending else F.col(value).asc()
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

@@ -178,6 +178,23 @@ def test_sparse_sweep_equals_dense_metrics(spark):
     assert got["n_unique_cells"] == grid.select("cell").distinct().count()
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_running_totals_with_and_without_buckets(spark, small):
+    random.seed(6)
+    data = [(g, float(v), random.randint(1, 9)) for g in "ab" for v in random.sample(range(10_000), 700)]
+    hist = spark.createDataFrame(data, "g string, v double, f bigint")
+    for descending in (False, True):
+        out = ranks.running_totals(hist, "v", {"c": "f"}, ["g"], descending, totals={"t": "f"}, small_rows=small)
+        for g in "ab":
+            rows_g = sorted((r for r in data if r[0] == g), key=lambda r: r[1], reverse=descending)
+            want, run = {}, 0
+            for _, v, f in rows_g:
+                want[v] = run
+                run += f
+            got = out.where(F.col("g") == g).collect()
+            assert {r.v: r.c for r in got} == want and {r.t for r in got} == {run}
+
+
 def test_quantiles_and_ranks_with_ties_and_skew(spark):
     random.seed(5)
     values = [("hot", 1.0)] * 500 + [("hot", random.random()) for _ in range(300)] + [("cold", float(i % 7)) for i in range(50)]
