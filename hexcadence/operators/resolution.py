@@ -114,13 +114,18 @@ def gini(df: DataFrame, value: str, zero_sum: float | None = None) -> DataFrame:
     return _gini(ranked, value, [], zero_sum)
 
 
-def _gini(ranked: DataFrame, value: str, groups: Sequence[str], zero_sum: float | None = None) -> DataFrame:
+def _rank_sum(value: str) -> Column:
+    """Sum of rank x value over blocks of ``n_rows`` equal values after ``before`` smaller ones."""
     f, c = F.col("n_rows").cast("double"), F.col("before").cast("double")
-    v = F.col(value).cast("double")
+    return F.sum(F.col(value).cast("double") * f * (2 * c + f + 1) / 2)
+
+
+def _gini(ranked: DataFrame, value: str, groups: Sequence[str], zero_sum: float | None = None) -> DataFrame:
+    f, v = F.col("n_rows").cast("double"), F.col(value).cast("double")
     sums = ranked.groupBy(*groups).agg(
         F.sum(f).alias("_n"),
         F.sum(f * v).alias("_s"),
-        F.sum(v * f * (2 * c + f + 1) / 2).alias("_w"),
+        _rank_sum(value).alias("_w"),
     )
     n, s = F.col("_n"), F.col("_s")
     value_out = F.when(s > 0, 2 * F.col("_w") / (n * s) - (n + 1) / n)
@@ -312,19 +317,35 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
         *choice, F.lit(0).cast("bigint").alias("n"), F.col("zero_rows").alias("n_rows")
     )
     hist = hist.unionByName(zeros)
-    stats = _from_moments(hist.groupBy(*choice).agg(*_moment_aggs("n", "n_rows")), choice)
     # Distinct counts per choice number at most sqrt(2 x events): a small window.
     before = Window.partitionBy(*choice).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    ginis = _gini(
-        hist.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0))), "n", choice
+    ranked = hist.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    moments = ranked.groupBy(*choice).agg(*_moment_aggs("n", "n_rows"), _rank_sum("n").alias("_w"))
+    stats = _from_moments(
+        moments, [*choice, (2 * F.col("_w") / (F.col("rows") * F.col("_s1")) - (F.col("rows") + 1) / F.col("rows")).alias("gini")]
     )
-    parts = [
-        stats,
-        ginis,
-        cells_agg.drop("_change", "zero_rows", "non_zero_rows", "n_bins"),
-        *[_mean_median(per_cell, c, choice) for c in ("active_bins", "median_non_zero", "event_intensity")],
-    ]
-    return reduce(lambda left, right: left.join(right, choice), parts)
+
+    # Mean and exact median over the cells of three per-cell columns, from one value histogram.
+    measures = ("active_bins", "median_non_zero", "event_intensity")
+    items = F.array(
+        *[F.named_struct(F.lit("m"), F.lit(m), F.lit("v"), F.col(m).cast("double")) for m in measures]
+    )
+    values = per_cell.select(*choice, F.explode(items).alias("_i")).groupBy(*choice, "_i.m", "_i.v").agg(
+        F.count(F.lit(1)).alias("f")
+    )
+    v, f = F.col("v"), F.col("f")
+    centres = values.groupBy(*choice, "m").agg(
+        (F.sum(v * f) / F.sum(f)).alias("mean"), F.percentile("v", F.lit(0.5), f).alias("median")
+    )
+    per_choice = centres.groupBy(*choice).agg(
+        *[
+            F.max(F.when(F.col("m") == m, F.col(c))).alias(f"{m}_{c}")
+            for m in measures
+            for c in ("mean", "median")
+        ]
+    )
+    cells_agg = cells_agg.drop("_change", "zero_rows", "non_zero_rows", "n_bins")
+    return stats.join(cells_agg, choice).join(per_choice, choice)
 
 
 def normalise(column: Column, window: Window) -> Column:
