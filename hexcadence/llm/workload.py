@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, sharding, simhash
+from hexcadence.llm import bpe, quality, sharding, simhash
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -82,6 +82,11 @@ def op2_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_divergence")
+def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), "text", "lang", keep=["doc_id"]).select("doc_id", "quality.*")
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_components(table(spark, sf_dir, "documents"), "doc_id", "text")
