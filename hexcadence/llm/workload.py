@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, quality, sharding, simhash
+from hexcadence.llm import bpe, mixing, pii, quality, sharding, simhash
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -82,6 +82,26 @@ def op2_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_bootstrapped_pii")
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.counted("pii.base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed("pii.base").cast("binary"), 256).alias("base_sha256"),
+        pii.listed("pii.spans").alias("spans"),
+    )
+
+
+@query("op6_cube_mixing")
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, "source", "size", ["doc_id"])
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+    )
+
+
 @query("op7_divergence")
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), "text", "lang", keep=["doc_id"]).select("doc_id", "quality.*")
