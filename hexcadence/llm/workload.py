@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, mixing, pii, quality, sharding, simhash
+from hexcadence.llm import bpe, mixing, pii, quality, sharding, simhash, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
+from hexcadence.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -93,6 +94,45 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH pages_read AS (
+    SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages
+),
+grouped AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first
+    FROM pages_read
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM grouped
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    full = warc.read(spark, path).where("record_type = 'response'")
+    heads = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = full.select(
+        warc.page_key(F.col("record_id")).alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("bigint").alias("refers_to"),
+    )
+    revisits = heads.select(
+        warc.page_key(F.col("record_id")).alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        warc.page_key(F.col("refers_to")).alias("refers_to"),
+    )
+    return responses.select(columns).unionByName(revisits.select(columns))
+
+
 @query("op6_cube_mixing")
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
