@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, mixing, pii, quality, sharding, simhash, warc
+from hexcadence.llm import bpe, covertree, mixing, pii, quality, sharding, simhash, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 from hexcadence.session import scratch_path
 
@@ -94,6 +94,38 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS r,
+        embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x != 0)) > 0 AS usable
+    FROM embeddings
+),
+links AS (
+    SELECT a.r AS a, b.r AS b
+    FROM vectors a JOIN vectors b ON a.usable AND b.usable AND a.r != b.r AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+),
+reached(r, seen) AS (
+    SELECT r, r FROM vectors
+    UNION
+    SELECT reached.r, links.b FROM reached JOIN links ON reached.seen = links.a
+),
+components AS (
+    SELECT reached.r, min(vectors.vec_id) AS component_id FROM reached JOIN vectors ON vectors.r = reached.seen GROUP BY 1
+),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors JOIN components USING (r) LEFT JOIN counts USING (r)
+"""
+
+
+@query("op4_cover_tree", OP4_SQL)
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_components(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 OP5_SQL = r"""
 WITH pages_read AS (
     SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages
