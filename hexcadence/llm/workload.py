@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, covertree, mixing, pii, quality, sharding, simhash, warc
+from hexcadence.llm import bpe, covertree, mixing, pii, quality, quotes, sharding, simhash, tokencounts, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 from hexcadence.session import scratch_path
 
@@ -24,18 +24,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_and_text(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-def tokens_and_text(docs: DataFrame, vocab: str) -> DataFrame:
-    """Encode ``text``, decode the tokens again, and give digests of both beside the ids."""
-    encoded = bpe.encode(docs, "text", vocab, keep=[c for c in docs.columns if c != "text"]).select(
-        *[c for c in docs.columns if c != "text"], "tokens.n_tokens", "tokens.token_ids"
-    )
-    decoded = bpe.decode(
-        encoded.withColumn("ids_sha256", F.sha2("token_ids", 256)),
-        "token_ids",
-        vocab,
-        into="decoded",
-        keep=[c for c in docs.columns if c != "text"] + ["n_tokens", "ids_sha256"],
-    )
+def tokens_and_text(docs: DataFrame, vocab: str, ids: bool = False) -> DataFrame:
+    """Encode ``text``, decode the tokens again; n_tokens, the digests of both, and the packed ids if asked for."""
+    others = [c for c in docs.columns if c != "text"]
+    encoded = bpe.encode(docs, "text", vocab, keep=others).select(*others, "tokens.n_tokens", "tokens.token_ids")
+    digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
+    kept = [*others, "n_tokens", *(["token_ids"] if ids else []), "ids_sha256"]
+    decoded = bpe.decode(digested, "token_ids", vocab, into="decoded", keep=kept)
     return decoded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
@@ -179,6 +174,25 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), "text", "lang", keep=["doc_id"]).select("doc_id", "quality.*")
 
 
+@query("op8_quotation_links")
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = quotes.linked(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return chats.select("conv_id", "turn", "role", "body", "n_quotes", "reply_to", "position")
+
+
+@query("op9_token_sections")
+def op9_token_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tokencounts.attribute(table(spark, sf_dir, "documents"), "text", vocabulary(), keep=["doc_id"])
+    return lines.select(
+        "doc_id",
+        F.col("section.number").alias("line"),
+        "section.start",
+        "section.end",
+        F.col("section.tokens").cast("bigint").alias("n_tokens"),
+        F.col("section.crossing").alias("n_crossing"),
+    )
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_components(table(spark, sf_dir, "documents"), "doc_id", "text")
