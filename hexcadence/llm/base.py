@@ -67,10 +67,6 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def total_rows(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()
-
-
 def _slices(batch: pa.RecordBatch, texts: list[int]) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_CHARS bytes of text each; a longer text stands alone."""
     if batch.num_rows == 0:
@@ -106,10 +102,11 @@ def map_rows(
 
     kept = [c for c in (df.columns if keep is None else keep) if c != into]
     extra = [c for c in inputs if c not in kept]
-    source = df.select(*[named(c) for c in kept + extra])
-    schema = T.StructType([source.schema[i] for i in range(len(kept))] + [T.StructField(into, dtype)])
+    # Columns travel by place: names may hold dots.
+    source = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(kept + extra)])
+    schema = T.StructType([*list(source.schema)[: len(kept)], T.StructField("new", dtype)])
     at = [(kept + extra).index(c) for c in inputs]
-    texts = [i for i, c in zip(at, inputs, strict=True) if isinstance(df.schema[c].dataType, T.StringType | T.BinaryType)]
+    texts = [i for i in at if isinstance(source.schema[i].dataType, T.StringType | T.BinaryType)]
     n_kept, kind = len(kept), to_arrow_type(dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,4 +122,6 @@ def map_rows(
                     [part.column(i) for i in range(n_kept)] + [new], names=[f.name for f in schema]
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("new").alias(into)
+    )

@@ -17,7 +17,7 @@ import codecs
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,7 @@ class Merges:
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.made = np.array([c for _, _, c in self.rules], np.int64)
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
         """Bytes to the right of a token that can influence whether it stays.
 

@@ -12,6 +12,7 @@ from hexcadence.llm.base import WORD, named, stored
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK = 4096  #: rows that one flight balances
+LANDING = 12  #: rows of a source that the landing phase settles, over all their 0/1 choices
 _EPS = 1e-9
 
 
@@ -54,8 +55,8 @@ def targets(
     )
 
 
-def flight(prob: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move inclusion probabilities along the null space of (count, size) until at most two stay fractional.
+def flight(prob: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move inclusion probabilities along the null space of (count, size) until at most ``leave`` stay fractional.
 
     Each step settles the largest open row, or another one on the way: a direction that moves this row by one and,
     so that the sums of probability and of probability times size don't change, all smaller open rows a little,
@@ -67,7 +68,7 @@ def flight(prob: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.
     open_ = np.flatnonzero((p > 0) & (p < 1))
     open_ = open_[np.argsort(-sizes[open_], kind="stable")]
     scale = max(1.0, float(sizes[open_[0]])) if len(open_) else 1.0
-    while len(open_) > 2:
+    while len(open_) > max(2, leave):
         q, s = p[open_], sizes[open_] / scale
         u = _direction(q, s)
         if u is None:
@@ -123,9 +124,11 @@ def _fly(seed: int, last: bool):
         group = group.sort_by([("draw", "ascending"), ("size", "ascending"), ("tie", "ascending")])
         prob, sizes = group["prob"].to_numpy(), group["size"].to_numpy()
         start = int(np.bitwise_xor.reduce(group["draw"].to_numpy())) & (1 << 62) - 1
-        out = flight(prob, sizes, np.random.default_rng([seed, start, len(prob)]))
         if last:
-            out = land(out, sizes)
+            out = land(prob, sizes)
+        else:
+            leave = LANDING if group["blocks"][0].as_py() == 1 else 2
+            out = flight(prob, sizes, np.random.default_rng([seed, start, len(prob)]), leave)
         return group.set_column(group.schema.get_field_index("prob"), "prob", pa.array(out))
 
     return run
@@ -140,8 +143,8 @@ def mix(
     A source with rate r = target / size takes every row floor(r) times, and once more with probability r - floor(r).
     Those draws are balanced: in each block of a source's rows, the flight phase of the cube method keeps the sums of
     rows and of sizes exactly and leaves at most two fractional rows. These meet in new blocks, until one block per
-    source is left; its last two rows are settled by the landing phase. So a source's sum is off its target by less
-    than two rows' sizes. Large sources have many blocks; no task sees more than about ``block`` rows.
+    source is left; of its last LANDING rows, which are small ones, the landing phase takes those whose sizes come
+    nearest to the target. Large sources have many blocks; no task sees more than about ``block`` rows.
 
     ``key`` and the row's values fix the order of the draws, so reruns agree; rows alike in all of ``df`` are
     interchangeable. Pass keys and sizes, not texts: rows travel through the tasks. Null is a source of its own, null

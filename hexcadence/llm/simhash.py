@@ -110,8 +110,8 @@ def _sent(fps: DataFrame, fp: str, distance: int, n_blocks: int) -> DataFrame:
         syndrome = sum(
             (F.bit_count(value.bitwiseAND(F.lit(m))) % 2 * (1 << bit) for bit, m in enumerate(checks)), F.lit(0)
         )
-        table = F.array(*[F.array(*[F.lit(e).cast("int") for e in row]) for row in steps])
-        each.append(F.transform(F.element_at(table, syndrome.cast("int") + 1), _anchor(k, value.cast("int"))))
+        table = F.array(*[F.array(*[F.lit(e).cast("bigint") for e in row]) for row in steps])
+        each.append(F.transform(F.element_at(table, syndrome.cast("int") + 1), _anchor(k, value)))
     return fps.select(F.col(fp), F.explode(F.concat(*each)).alias("at")).select("at.*", fp)
 
 
