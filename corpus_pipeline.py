@@ -42,12 +42,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    (uid,) = free_names(docs, "uid")
+    uid, times = free_names(docs, "uid", "times")
     rows = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
     sizes = rows.select(F.col(uid).alias("uid"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    copies = mixing.mix(sizes, "source", "size", ["doc_id", "uid"]).where("copies > 0").select(F.col("uid").alias(uid), "copies")
-    taken = rows.join(copies, uid).withColumn(uid, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return taken.select(*[named(c) for c in docs.columns])
+    mixed = mixing.mix(sizes, "source", "size", ["doc_id", "uid"]).where("copies > 0")
+    taken = rows.join(mixed.select(F.col("uid").alias(uid), F.col("copies").alias(times)), uid)
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))
+    return taken.withColumn(uid, again).select(*[named(c) for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
