@@ -1,26 +1,26 @@
 """Global ranks, cumulative sums and exact quantiles without a one-task sort.
 
-The pattern is always the same: collapse rows to distinct values first, cut the value range into
-buckets of about equal size (edges from a bounded quantile sketch), add up bucket totals (a few
-hundred rows) and run the window inside each bucket only.  No task ever sees all the values.
+The pattern is always the same: collapse rows to distinct values first, deal them to ranges of the value, add up the
+ranges' totals (a row per range and group) and run the window inside each range only.  No task ever sees all the values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexcadence.session import broadcast_if_small, materialise
+from hexcadence.session import materialise
 
-BUCKETS = 256
-# Histograms up to this many rows are cumulated in one window.
-SMALL_HISTOGRAM = 200_000
 # Quantile brackets: the sketch errs by 1 / accuracy of the rows at most, an eighth of the bracket.
 SKETCH_ACCURACY = 4_000
 BRACKET = 0.002
-SMALL_GROUP = 10_000
+# From this many rows on a bracket holds the sketch's error and the two ranks beside the wanted one; groups with fewer
+# rows have no such bracket, so their values are all inside.
+BRACKETED_ROWS = ceil(2 / (BRACKET - 1 / SKETCH_ACCURACY))
 
 
 def value_histogram(
@@ -34,11 +34,11 @@ def value_histogram(
     )
 
 
-def _bucket(hist: DataFrame, value: str, buckets: int) -> Column:
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = hist.select(F.percentile_approx(value, probs, F.lit(10000))).scalar()
-    # Edges below the value: its place in the sorted edges.
-    return F.array_position(F.sort_array(F.array_append(edges, F.col(value))), F.col(value))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys whose nulls match each other; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_totals(
@@ -48,54 +48,40 @@ def running_totals(
     groups: Sequence[str] = (),
     descending: bool = False,
     totals: dict[str, str] | None = None,
-    buckets: int = BUCKETS,
-    small_rows: int = SMALL_HISTOGRAM,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add exclusive cumulative sums of ``sums`` (output -> input) in the order of ``value``.
 
     ``hist`` must hold one row per (groups, value).  ``totals`` (output -> input) adds sums over the
-    whole group.  The histogram is checkpointed and counted: a small one needs no buckets, a larger
-    one is checkpointed with its bucket numbers, because bucket totals and cumulative sums both
-    read them.
+    whole group.  The histogram is dealt to ranges of (groups, value) and checkpointed, because range
+    totals and cumulative sums both read them.
     """
     groups, totals = list(groups), totals or {}
-    hist = materialise(hist)
-    if hist.limit(small_rows + 1).count() <= small_rows:
-        whole = Window.partitionBy(*groups)
-        row_order = F.col(value).desc() if descending else F.col(value).asc()
-        earlier = whole.orderBy(row_order).rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select(
-            *hist.columns,
-            *[F.coalesce(F.sum(src).over(earlier), F.lit(0)).alias(out) for out, src in sums.items()],
-            *[F.sum(src).over(whole).alias(out) for out, src in totals.items()],
-        )
-    cut = materialise(hist.withColumn("_bucket", _bucket(hist, value, buckets)))
     order = F.col(value).desc() if descending else F.col(value).asc()
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-
+    ranges = [*map(F.col, groups), order]
+    dealt = hist.repartitionByRange(partitions, *ranges) if partitions else hist.repartitionByRange(*ranges)
+    cut = materialise(dealt.withColumn("_range", F.spark_partition_id()))
     in_group = Window.partitionBy(*groups)
-    before_bucket = in_group.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    # At most `buckets` rows per group reach these windows.
+    before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per group and range in which it has rows: ranges and groups together at most.
     offsets = (
-        cut.groupBy(*groups, "_bucket")
+        cut.groupBy(*groups, "_range")
         .agg(
             *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()],
             *[F.sum(src).alias(f"_g_{out}") for out, src in totals.items()],
         )
         .select(
             *groups,
-            "_bucket",
-            *[F.coalesce(F.sum(f"_t_{out}").over(before_bucket), F.lit(0)).alias(f"_b_{out}") for out in sums],
+            "_range",
+            *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums],
             *[F.sum(f"_g_{out}").over(in_group).alias(out) for out in totals],
         )
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    inside = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.select(
         "*", *[F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_i_{out}") for out, src in sums.items()]
     )
-    return ranked.join(offsets, [*groups, "_bucket"]).select(
+    return join_null_safe(ranked, offsets, [*groups, "_range"]).select(
         *hist.columns, *[(F.col(f"_b_{out}") + F.col(f"_i_{out}")).alias(out) for out in sums], *totals
     )
 
@@ -108,7 +94,7 @@ def histogram_near(
     A sketch gives for each probability a bracket that surely holds its rank.  Values inside a
     bracket keep a row of their own; all values between two brackets fall into one row (with their
     smallest value, so that the order holds).  The partial aggregate shrinks the rows to a few
-    percent before the shuffle.  Small groups keep every value.
+    percent before the shuffle.
     """
     groups, k = list(groups), len(probs)
     v = F.col(value)
@@ -121,11 +107,11 @@ def histogram_near(
         )
     )
     if groups:
-        rows = known.join(broadcast_if_small(sketch), groups)
+        rows = join_null_safe(known, sketch, groups)
     else:
         rows = known.withColumns({"_all": sketch.select("_all").scalar(), "_at": sketch.select("_at").scalar()})
     low, high = [F.col("_at")[i] for i in range(k)], [F.col("_at")[k + i] for i in range(k)]
-    inside = F.col("_all") < SMALL_GROUP
+    inside = F.col("_all") < BRACKETED_ROWS
     passed = F.lit(0)
     for p, lo, hi in zip(probs, low, high):
         above = F.lit(True) if p - BRACKET <= 0 else v >= lo

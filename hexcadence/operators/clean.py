@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -134,20 +135,29 @@ def parse_list(c: str) -> Column:
 def drop_duplicates(
     df: DataFrame, subset: Sequence[str] = (), keep: str = "first", order_by: str | None = None
 ) -> DataFrame:
-    """First or last row per subset in key order; whole-row duplicates without a subset.
+    """First or last row per subset in the order of ``order_by``; whole-row duplicates without a subset.
 
-    The kept row is found by an aggregate (``min_by``/``max_by`` with partial results), not by
-    sorting a possibly hot group.
+    Rows without an order value come after those with one, whichever end is kept, and rows alike in it are told apart
+    by their other columns. ``keep="last"`` needs an order. The kept row is found by an aggregate with partial results,
+    not by sorting a possibly hot group.
     """
+    if keep not in ("first", "last"):
+        raise ValueError(f"keep must be first or last, not {keep!r}")
+    if order_by is None and keep == "last":
+        raise ValueError("keep='last' needs order_by")
     if not subset:
         return df.dropDuplicates()
     if order_by is None:
         return df.dropDuplicates(list(subset))
-    pick = F.min_by if keep == "first" else F.max_by
-    row = F.struct(*[F.col(c) for c in df.columns])
+    at = F.col(order_by)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    if keep == "first":
+        pick = F.min_by(F.struct(*df.columns), F.struct(at.isNull(), at, tie))
+    else:
+        pick = F.max_by(F.struct(*df.columns), F.struct(at.isNotNull(), at, tie))
     return (
         df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(subset)])
-        .agg(pick(row, F.col(order_by)).alias("_row"))
+        .agg(pick.alias("_row"))
         .select("_row.*")
     )
 
@@ -253,17 +263,37 @@ def clip_upper(df: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 Action = dict
 
-ACTIONS: dict[str, Callable[[DataFrame, Action], DataFrame]] = {
-    "drop_duplicates": lambda df, a: drop_duplicates(
-        df,
-        a.get("params", {}).get("subset") or (),
-        a.get("params", {}).get("keep", "first"),
-        a.get("params", {}).get("order_by"),
-    ),
-    "parse_datetime": lambda df, a: parse_datetimes(df, a.get("target", []), a.get("params", {}).get("formats", ())),
-    "impute_nan": lambda df, a: impute(df, a.get("target", []), a.get("params", {}).get("strategy", "median")),
-    "handle_skewness": lambda df, a: add_scaled(df, a.get("target", [])),
-    "handle_kurtosis": lambda df, a: add_log(df, a.get("target", [])),
+
+@dataclass(frozen=True)
+class Step:
+    """One typed cleaning step: its columns, and the parameters that its kind reads."""
+
+    target: tuple[str, ...] = ()
+    subset: tuple[str, ...] = ()
+    keep: str = "first"
+    order_by: str | None = None
+    formats: tuple[str, ...] = ()
+    strategy: str = "median"
+
+    @classmethod
+    def of(cls, action: Action) -> Step:
+        """From a plan's entry; parameters that are missing or null keep their defaults."""
+        known = {f.name: f.type for f in fields(cls)}
+        given = {"target": action.get("target"), **(action.get("params") or {})}
+        unknown = set(given) - set(known)
+        if unknown:
+            raise ValueError(f"unknown parameters {sorted(unknown)} of {action['action']}")
+        lists = {"target", "subset", "formats"}
+        return cls(**{k: tuple(v) if k in lists else v for k, v in given.items() if v is not None})
+
+
+# The names of the actions.
+ACTIONS: dict[str, Callable[[DataFrame, Step], DataFrame]] = {
+    "drop_duplicates": lambda df, s: drop_duplicates(df, s.subset, s.keep, s.order_by),
+    "parse_datetime": lambda df, s: parse_datetimes(df, s.target, s.formats),
+    "impute_nan": lambda df, s: impute(df, s.target, s.strategy),
+    "handle_skewness": lambda df, s: add_scaled(df, s.target),
+    "handle_kurtosis": lambda df, s: add_log(df, s.target),
 }
 
 
@@ -274,5 +304,5 @@ def apply_plan(df: DataFrame, plan: Sequence[Action]) -> DataFrame:
         if handler is None:
             log.warning("no handler for action %s", action["action"])
             continue
-        df = handler(df, action)
+        df = handler(df, Step.of(action))
     return df

@@ -78,11 +78,8 @@ def densify(
     )
     if calendar == "full":
         return grid
-    # The bin list is bounded by the calendar (about 5,000 rows for a century of weeks); past
-    # that bound (hours) the planner picks the join itself.
+    # The bin list is bounded by the calendar; the planner and adaptive execution choose the join.
     seen = counts.select(bin_col).distinct()
-    if T.frequency(freq).unit != "hour":
-        seen = F.broadcast(seen)
     return grid.join(seen, bin_col, "left_semi").select(cell, bin_col, value)
 
 

@@ -9,7 +9,6 @@ distinct score.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,24 +169,15 @@ def threshold_counts(
 
 
 def _bucket_of(score: Column, ts: Sequence[float]) -> Column:
-    """Number of thresholds that are <= score.
+    """Number of thresholds that are <= score, by a balanced tree of comparisons; any spacing, repeats allowed."""
 
-    On an even grid it is arithmetic with a correction by one against the exact thresholds,
-    otherwise a sum of comparisons (short lists).
-    """
-    if len(ts) < 12:
-        return reduce(lambda a, b: a + b, [(score >= F.lit(t)).cast("int") for t in ts])
-    start, step = ts[0], (ts[-1] - ts[0]) / (len(ts) - 1)
-    last = len(ts) - 1
-    guess = F.floor((score - F.lit(start)) / F.lit(step)).cast("int")
-    guess = F.greatest(F.least(guess, F.lit(last)), F.lit(-1))
-
-    def at(i: Column) -> Column:
-        return F.when(i >= last, F.lit(ts[-1])).otherwise(F.lit(start) + i * F.lit(step))
-
-    low = F.when((guess >= 0) & (score < at(guess)), guess - 1)
-    high = F.when((guess < last) & (score >= at(guess + 1)), guess + 1)
-    return F.coalesce(low, high, guess) + 1
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(score >= F.lit(ts[middle - 1]), among(middle, high)).otherwise(among(low, middle - 1))
+
+    return among(0, len(ts))
 
 
 def threshold_sweep(

@@ -93,11 +93,11 @@ def propagate(
 def baselines(snapshots: DataFrame, feature: str, bin_col: str) -> DataFrame:
     """Persistence, always 0, always 1 and the feature scaled by its maximum in the bin.
 
-    Bin maxima are aggregated and joined back (a row per bin), not windowed over whole bins.
+    Bin maxima are aggregated and joined back (a row per bin), not windowed over whole bins.  Rows
+    without a bin are one bin.
     """
-    peak = snapshots.groupBy(bin_col).agg(F.max(feature).alias("_max"))
-    # One row per calendar bin.
-    joined = snapshots.join(F.broadcast(peak), bin_col)
+    peak = snapshots.groupBy(F.col(bin_col).alias("_bin")).agg(F.max(feature).alias("_max"))
+    joined = snapshots.join(peak, F.col(bin_col).eqNullSafe(F.col("_bin"))).drop("_bin")
     scaled = F.col(feature) / (F.col("_max") + F.lit(PROB_EPSILON))
     return joined.withColumns(
         {

@@ -62,6 +62,7 @@ def pair_profile(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count_if(in_a).alias("unique_keys_a"),
         F.count_if(in_b).alias("unique_keys_b"),
         F.count_if(in_a & in_b).alias("overlap_rows"),
+        F.sum(F.when(known, F.col("na") * F.col("nb")).otherwise(0)).alias("n_matches"),
     )
     dtype = F.create_map(
         *[x for c in common for x in (F.lit(c), F.lit(a.schema[c].dataType != b.schema[c].dataType))]
@@ -111,6 +112,7 @@ class ColumnDifference:
 
     @property
     def similarity(self) -> float:
+        # The penalty of each difference, and the weights in ``confidence``.
         off = self.missing + self.added
         total = off + max(1, self.type_changes)
         return max(0.0, 1 - (off + self.type_changes) / (total + off))
@@ -125,12 +127,24 @@ def confidence(uniqueness: Column, overlap: Column, similarity: float) -> dict[s
     }
 
 
-def merge_decision(a: DataFrame, b: DataFrame, expected_key: str | None = None) -> DataFrame:
-    """One row: strategy (append, merge, reject, manual_review), reason, key and confidences."""
+def merge_decision(
+    a: DataFrame,
+    b: DataFrame,
+    expected_key: str | None = None,
+    max_join_rows: float = JOIN_EXPLOSION_ROWS,
+    by_matches: bool = False,
+) -> DataFrame:
+    """One row: strategy (append, merge, reject, manual_review), reason, key and confidences.
+
+    A merge is rejected if it could give more than ``max_join_rows``.  The estimate is the product of both row counts,
+    which rejects any two tables of some thousand rows; ``by_matches`` counts the rows that the join on the key would
+    really have.
+    """
     diff = ColumnDifference.of(a, b)
     key = join_key(pair_profile(a, b), expected_key)
     va, vb = F.col("overlap_vs_a"), F.col("overlap_vs_b")
-    explosive = F.col("n_rows_a").cast("double") * F.col("n_rows_b") > JOIN_EXPLOSION_ROWS
+    product = F.col("n_rows_a").cast("double") * F.col("n_rows_b")
+    explosive = (F.col("n_matches").cast("double") if by_matches else product) > max_join_rows
     disjoint = (va < DISJOINT_OVERLAP) & (vb < DISJOINT_OVERLAP)
     strong = (va > STRONG_OVERLAP) & (vb > STRONG_OVERLAP)
     cases = [
@@ -144,7 +158,7 @@ def merge_decision(a: DataFrame, b: DataFrame, expected_key: str | None = None)
     for cond, s, r in cases:
         strategy, reason = strategy.when(cond, s), reason.when(cond, r)
     # At most one row comes in; the aggregate keeps an answer when no key exists.
-    needed = ["column", "uniqueness_a", "uniqueness_b", "overlap_vs_a", "overlap_vs_b", "n_rows_a", "n_rows_b"]
+    needed = ["column", "uniqueness_a", "uniqueness_b", "overlap_vs_a", "overlap_vs_b", "n_rows_a", "n_rows_b", "n_matches"]
     row = key.agg(*[F.max(c).alias(c) for c in needed])
     return row.select(
         strategy.otherwise("manual_review").alias("strategy"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,30 +12,38 @@ from pyspark.sql import functions as F
 from hexcadence.functions.stats import stable_hash
 
 
-def merge_frames(
-    frames: Sequence[DataFrame],
-    on: str | Sequence[str],
-    suffix_col: str | None = None,
-    drop_cols: Sequence[str] = (),
-    how: str = "inner",
-) -> DataFrame:
-    """Join many frames on the same keys.
+@dataclass(frozen=True)
+class Side:
+    """One frame of an n-way join: what to leave out of it, and new names for columns that others have too."""
 
-    ``suffix_col`` gets its frame number; ``drop_cols`` are removed first.
+    frame: DataFrame
+    without: tuple[str, ...] = ()
+    renamed: dict[str, str] = field(default_factory=dict)
+
+    def ready(self) -> DataFrame:
+        return self.frame.drop(*self.without).withColumnsRenamed(self.renamed)
+
+
+def join_all(sides: Sequence[Side | DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many frames on the same keys, from left to right.
+
+    All frames are checked before the first join is planned: every one needs the keys, and no two may share another
+    column (``Side`` renames or drops it).
     """
-    keys = [on] if isinstance(on, str) else list(on)
     if not keys:
-        raise ValueError("join columns must be given")
-    ready = []
+        raise ValueError("an n-way join needs keys")
+    frames = [(s if isinstance(s, Side) else Side(s)).ready() for s in sides]
+    owners: dict[str, list[int]] = {}
     for i, f in enumerate(frames):
-        if suffix_col and suffix_col in f.columns:
-            f = f.withColumnRenamed(suffix_col, f"{suffix_col}_{i}")
-        f = f.drop(*drop_cols)
-        missing = [k for k in keys if k not in f.columns]
-        if missing:
-            raise ValueError(f"columns {missing} are not in frame {i}")
-        ready.append(f)
-    return reduce(lambda a, b: a.join(b, keys, how), ready)
+        for c in f.columns:
+            owners.setdefault(c, []).append(i)
+    lacking = {k: sorted(set(range(len(frames))) - set(owners.get(k, []))) for k in keys}
+    if any(lacking.values()):
+        raise ValueError(f"keys missing, by frame number: { {k: v for k, v in lacking.items() if v} }")
+    shared = {c: at for c, at in owners.items() if len(at) > 1 and c not in keys}
+    if shared:
+        raise ValueError(f"columns of several frames: {shared}")
+    return reduce(lambda left, right: left.join(right, list(keys), how), frames)
 
 
 def natural_join(frames: Sequence[DataFrame]) -> DataFrame:
@@ -74,10 +83,13 @@ def sample_rows(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42)
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Sizes of the key sets, their intersection and both differences."""
-    ka, kb = a.select(key), b.select(key)
-    both = ka.intersect(kb).agg(F.count(F.lit(1))).scalar()
-    only_a = ka.subtract(kb).agg(F.count(F.lit(1))).scalar()
-    only_b = kb.subtract(ka).agg(F.count(F.lit(1))).scalar()
-    one = a.sparkSession.range(1)
-    return one.select(both.alias("common"), only_a.alias("only_a"), only_b.alias("only_b"))
+    """Sizes of the key sets, their intersection and both differences: one row, one group per key."""
+    tagged = a.select(F.col(key).alias("k"), F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionByName(
+        b.select(F.col(key).alias("k"), F.lit(False).alias("in_a"), F.lit(True).alias("in_b"))
+    )
+    keys = tagged.groupBy("k").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+    return keys.agg(
+        F.count_if(F.col("in_a") & F.col("in_b")).alias("common"),
+        F.count_if(~F.col("in_b")).alias("only_a"),
+        F.count_if(~F.col("in_a")).alias("only_b"),
+    )

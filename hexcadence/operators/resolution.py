@@ -19,7 +19,7 @@ from hexcadence.functions import timefn as T
 from hexcadence.functions.ranks import exact_quantiles, running_totals, value_histogram
 from hexcadence.functions.stats import safe_corr
 from hexcadence.operators import cube
-from hexcadence.session import broadcast_if_small, materialise
+from hexcadence.session import materialise
 
 # The reported quantiles and the weights of the composite scores.
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
@@ -228,7 +228,7 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     counts = materialise(counts)
     bin_keys = counts.select("freq", "resolution", "time_bin").distinct()
     by_choice = Window.partitionBy(*choice)
-    # One row per choice and bin; broadcast only if that is few enough (hourly bins may not be).
+    # One row per choice and bin.
     bins = materialise(bin_keys.select(
         *choice,
         "time_bin",
@@ -238,7 +238,7 @@ def sweep(counts: DataFrame, min_events: int = 2) -> DataFrame:
     by_cell = Window.partitionBy(*choice, "cell")
     in_order = by_cell.orderBy("i")
     rows = (
-        counts.join(broadcast_if_small(bins), [*choice, "time_bin"])
+        counts.join(bins, [*choice, "time_bin"])
         .select(
             *choice,
             "cell",
@@ -445,21 +445,31 @@ def quantile_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, f
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts, range, quantiles and population moments of each column, one row per column."""
-    long = long_values(df, columns, "double")
-    v = F.col("value")
-    spread = F.stddev_pop(v)
-    moments = long.groupBy("column").agg(
-        F.count(v).alias("count_clean"),
-        F.count_if(v.isNull()).alias("nan_count"),
-        F.min(v).alias("min"),
-        F.avg(v).alias("mean"),
-        F.max(v).alias("max"),
-        spread.alias("std"),
-        F.when(spread > 0, F.skewness(v)).alias("skewness"),
-        F.when(spread > 0, F.kurtosis(v)).alias("kurtosis"),
-    )
-    return moments.join(quantile_table(df, columns, DESCRIBE_QUANTILES), "column", "left")
+    """Counts, range, quantiles and population moments of each column, one row per column.
+
+    NaN counts as missing.  All moments come from one aggregate over the table.
+    """
+    columns = list(columns)
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+
+    def moments(c: str):
+        v = F.col(c)
+        spread = F.stddev_pop(v)
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(v).alias("count_clean"),
+            F.count_if(v.isNull()).alias("nan_count"),
+            F.min(v).alias("min"),
+            F.avg(v).alias("mean"),
+            F.max(v).alias("max"),
+            spread.alias("std"),
+            F.when(spread > 0, F.skewness(v)).alias("skewness"),
+            F.when(spread > 0, F.kurtosis(v)).alias("kurtosis"),
+        )
+
+    wide = numbers.agg(F.array(*map(moments, columns)).alias("_m")).select(F.explode("_m").alias("_m")).select("_m.*")
+    found = wide.where("count_clean + nan_count > 0")
+    return found.join(quantile_table(numbers, columns, DESCRIBE_QUANTILES), "column", "left")
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hexcadence.functions.ranks import dense_index, kth_smallest
 from hexcadence.functions.stats import stable_hash
-from hexcadence.session import broadcast_if_small, materialise
 
 TRAIN_SIZE = 0.7
 
@@ -27,7 +26,7 @@ def temporal_split(
 
     By default the cut falls on a bin boundary: a bin belongs to the part in which its first row
     lies, decided by the counts per bin.  ``exact_rows`` cuts inside a bin, in the order of
-    (bin, tie_keys), which must be unique.
+    (bin, tie_keys), which must be unique.  Rows without a bin come first in time, so they are train.
     """
     rest = (1 - train_size) / 2 if validation else 1 - train_size
     if exact_rows:
@@ -39,11 +38,11 @@ def temporal_split(
         counts = df.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_n"))
         before = Window.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select(
-            bin_col,
+            F.col(bin_col).alias("_bin"),
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pos"),
             F.sum("_n").over(Window.partitionBy()).alias("_total"),
         )
-        numbered = df.join(F.broadcast(starts), bin_col)
+        numbered = df.join(starts, F.col(bin_col).eqNullSafe(F.col("_bin"))).drop("_bin")
         n, pos = F.col("_total"), F.col("_pos")
     n_train = F.floor(n * F.lit(train_size))
     n_val = F.floor(n * F.lit(rest))
@@ -102,5 +101,6 @@ def stratified_holdout(
     """
     hashed = df.withColumn("_h", stable_hash(key, seed=seed))
     cuts = kth_smallest(hashed, "_h", [label], share)
-    joined = hashed.join(broadcast_if_small(materialise(cuts)), label, "left")
+    cuts = cuts.withColumnRenamed(label, "_label")
+    joined = hashed.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
     return joined.withColumn(out, F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False))).drop("_h", "cut")

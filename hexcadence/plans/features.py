@@ -65,4 +65,4 @@ def place_features(
 
 def event_features(times: DataFrame, places: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Events that have both a time and a place."""
-    return relational.merge_frames([places, times], key).select(*columns)
+    return relational.join_all([places, times], [key]).select(*columns)

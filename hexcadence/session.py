@@ -34,19 +34,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup side for broadcast only after counting it; otherwise the planner shuffles.
-
-    Meant for narrow frames that are already materialised, so the count is cheap.
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder."""
     import uuid

@@ -9,7 +9,12 @@ from hexcadence.session import scratch_path
 from hexcadence.sources import files, tables
 from hexcadence.workload.base import BROKEN_EVENTS, PLACED_EVENTS, broken_events, placed_events, query, table
 
-YEARS = range(1995, 2002)
+
+def _years(spark, d) -> list:
+    """Years that occur in the orders (a handful), a null date's last."""
+    found = [r[0] for r in table(spark, d, "orders").select(F.year("o_orderdate")).distinct().collect()]
+    return sorted(found, key=lambda y: (y is None, y))
+
 
 # --- files --------------------------------------------------------------------------------------
 
@@ -22,16 +27,17 @@ def _write_yearly(spark, d) -> dict[str, str]:
     """Orders as yearly text files: delimiters vary, decimal comma, accents, one file in a single column."""
     o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
     out = {}
-    for i, y in enumerate(YEARS):
+    years = _years(spark, d)
+    for i, y in enumerate(years):
         sep = "\t;,"[i % 3]
-        part = o.where(F.col("y") == y).select(
+        part = o.where(F.col("y").eqNullSafe(F.lit(y))).select(
             "o_orderkey",
             "o_custkey",
-            _price_text("." if sep == "," or i == 6 else ",").alias("price"),
+            _price_text("." if sep == "," or y == years[-1] else ",").alias("price"),
             F.concat(F.lit("priorité "), F.col("o_orderpriority")).alias("priority"),
         )
         path = scratch_path(spark, f"orders-{y}")
-        if i == 6:  # everything in one column, separated by commas
+        if y == years[-1]:  # everything in one column, separated by commas
             name = "o_orderkey,o_custkey,price,priority"
             part.select(F.concat_ws(",", *part.columns).alias(name)).write.option("header", True).option(
                 "sep", "\t"
@@ -46,7 +52,7 @@ def _write_yearly(spark, d) -> dict[str, str]:
     "csv_folder_scan",
     "source_file:s o_orderkey:i o_custkey:i price:d2 priority:s",
     """
-    SELECT concat('orders_', year(o_orderdate)) AS source_file, o_orderkey, o_custkey, o_totalprice AS price,
+    SELECT concat('orders_', COALESCE(CAST(year(o_orderdate) AS VARCHAR), 'None')) AS source_file, o_orderkey, o_custkey, o_totalprice AS price,
       concat('priorité ', o_orderpriority) AS priority FROM orders
     """,
 )
@@ -149,7 +155,9 @@ def _yearly_variants(spark, d):
     """Yearly frames whose columns were renamed or dropped over time."""
     o = table(spark, d, "orders")
     out = {}
-    for y in YEARS:
+    for y in _years(spark, d):
+        if y is None:
+            continue  # a file belongs to a year
         f = o.where(F.year("o_orderdate") == y)
         key = "o_orderkey" if y < 1998 else "orderkey"
         prio = "prio" if y < 1999 else "prio1"
@@ -473,7 +481,7 @@ def required_columns(spark, d):
 )
 def feature_inner_join(spark, d):
     e = placed_events(spark, d)
-    return relational.merge_frames([e.select("event_id", "lat", "lon"), e.select("event_id", "ts")], "event_id")
+    return relational.join_all([e.select("event_id", "lat", "lon"), e.select("event_id", "ts")], ["event_id"])
 
 
 @query(
@@ -487,9 +495,9 @@ def feature_inner_join(spark, d):
 def n_way_join(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "note")
     li = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "o_orderkey", "l_returnflag": "note"})
-    return relational.merge_frames(
-        [o, li], "o_orderkey", suffix_col="note", drop_cols=["o_totalprice", "l_shipdate"], how="left"
-    )
+    orders = relational.Side(o, without=("o_totalprice",), renamed={"note": "note_0"})
+    items = relational.Side(li, without=("l_shipdate",), renamed={"note": "note_1"})
+    return relational.join_all([orders, items], ["o_orderkey"], how="left")
 
 
 @query(
@@ -616,7 +624,10 @@ def outlier_slice(spark, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query("yearly_union", "o_orderkey:i", "SELECT o_orderkey FROM orders")
+@query("yearly_union", "o_orderkey:i year:i", "SELECT o_orderkey, year(o_orderdate) AS year FROM orders")
 def yearly_union(spark, d):
-    o = table(spark, d, "orders")
-    return files.union_named({str(y): o.where(F.year("o_orderdate") == y) for y in YEARS})
+    folder = scratch_path(spark, "orders-by-year")
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    files.write_parquet(o, folder, partition_by=["year"])
+    # One scan over all listed folders, whatever years there are.
+    return files.read_union(spark, list(files.list_folder(spark, folder).values()), base=folder)

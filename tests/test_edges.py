@@ -17,6 +17,7 @@ from hexcadence.operators import (
     evaluation,
     flags,
     geo,
+    graph,
     merging,
     modelling,
     quality,
@@ -178,13 +179,13 @@ def test_sparse_sweep_equals_dense_metrics(spark):
     assert got["n_unique_cells"] == grid.select("cell").distinct().count()
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_running_totals_with_and_without_buckets(spark, small):
+@pytest.mark.parametrize("partitions", [1, 5, None])
+def test_running_totals_over_any_number_of_ranges(spark, partitions):
     random.seed(6)
     data = [(g, float(v), random.randint(1, 9)) for g in "ab" for v in random.sample(range(10_000), 700)]
     hist = spark.createDataFrame(data, "g string, v double, f bigint")
     for descending in (False, True):
-        out = ranks.running_totals(hist, "v", {"c": "f"}, ["g"], descending, totals={"t": "f"}, small_rows=small)
+        out = ranks.running_totals(hist, "v", {"c": "f"}, ["g"], descending, totals={"t": "f"}, partitions=partitions)
         for g in "ab":
             rows_g = sorted((r for r in data if r[0] == g), key=lambda r: r[1], reverse=descending)
             want, run = {}, 0
@@ -383,9 +384,14 @@ def test_audit_to_plan(spark):
 def test_joins_reject_bad_keys(spark):
     a = spark.range(3)
     with pytest.raises(ValueError):
-        relational.merge_frames([a, a.withColumnRenamed("id", "x")], "id")
+        relational.join_all([a, a.withColumnRenamed("id", "x")], ["id"])
     with pytest.raises(ValueError):
-        relational.merge_frames([a, a], [])
+        relational.join_all([a, a], [])
+    both = a.withColumn("v", F.lit(1))
+    with pytest.raises(ValueError):
+        relational.join_all([both, both], ["id"])
+    renamed = relational.Side(both, renamed={"v": "w"})
+    assert relational.join_all([both, renamed, relational.Side(both, without=("v",))], ["id"]).columns == ["id", "v", "w"]
 
 
 def test_flags_on_nulls(spark):
@@ -494,6 +500,8 @@ def test_json_and_text_sinks(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "j"), "cell string, n int").count() == 2
     assert files.as_json(df, ["cell", "n"]).first().document == '{"cell":"4:1:2","n":3}'
     assert files.clean_file_name("acc - 2010.csv") == "acc_2010.csv"
+    assert files.clean_file_name(" a b-c") == "a_b_c"
+    assert set(files.list_folder(spark, str(tmp_path))) >= {"g", "j"}
 
 
 def test_target_schema(spark):
@@ -502,3 +510,52 @@ def test_target_schema(spark):
     assert quality.target_schema(df, "id") == want
     assert quality.split_date_columns(["An", "mois", "x"]) == ["An", "mois"]
     assert geo.detect_geo_columns(["Latitude", "long", "gps"]) == {"lat": ["Latitude"], "lon": ["long"], "gps": ["gps"]}
+
+
+@pytest.mark.parametrize("n", [1, 2, 11, 12, 13, 100])
+def test_uneven_thresholds(spark, n):
+    random.seed(n)
+    ts = sorted({round(random.random() ** 3, 4) for _ in range(n)})
+    rows = [(i, round(random.random(), 3), i % 3 == 0) for i in range(300)] + [(i, t, True) for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "id int, p double, y boolean").withColumn("y", F.col("y").cast("int"))
+    got = {r.threshold: (r.tp, r.fp) for r in evaluation.threshold_counts(df, "y", "p", ts).collect()}
+    assert got == {t: (sum(p >= t and y for _, p, y in rows), sum(p >= t and not y for _, p, y in rows)) for t in ts}
+
+
+def test_duplicates_without_order_values(spark):
+    rows = [(1, None, "a"), (1, None, "b"), (2, None, "c"), (2, 5, "d"), (2, 7, "e"), (None, 1, "f")]
+    df = spark.createDataFrame(rows, "k int, at int, v string")
+    for keep, want in (("first", "d"), ("last", "e")):
+        got = {r.k: r for r in clean.drop_duplicates(df, ["k"], keep, "at").collect()}
+        assert set(got) == {1, 2, None} and got[2].v == want and got[1].v in "ab" and got[None].v == "f"
+    with pytest.raises(ValueError):
+        clean.drop_duplicates(df, ["k"], "last")
+    with pytest.raises(ValueError):
+        clean.drop_duplicates(df, ["k"], "middle", "at")
+
+
+def test_rows_without_a_bin_stay(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, 1, 4.0), (3, 2, 8.0), (4, 3, None)], "id int, bin int, f double")
+    split = {r.id: r.split for r in splits.temporal_split(df, "bin", 0.5).collect()}
+    assert split == {1: "train", 2: "train", 3: "test", 4: "test"}
+    assert {r.id: r.scaled_persistence for r in graph.baselines(df, "f", "bin").collect()}.keys() == {1, 2, 3, 4}
+
+
+def test_description_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), None), (3.0, 3)], "x double, n int")
+    got = {r.column: r for r in resolution.describe_numeric(df, ["x", "n"]).collect()}
+    for r in got.values():
+        assert (r.count_clean, r.nan_count, r.mean, r.max, r.median) == (2, 1, 2.0, 3.0, 2.0)
+    assert resolution.describe_numeric(df.limit(0), ["x"]).count() == 0
+
+
+def test_merge_by_real_matches(spark):
+    a = spark.range(200).withColumn("v", F.lit(1))
+    b = spark.range(200).withColumn("v", F.lit(2))
+    assert merging.merge_decision(a, b, "id", max_join_rows=1000).first().strategy == "reject"
+    assert merging.merge_decision(a, b, "id", max_join_rows=1000, by_matches=True).first().strategy == "merge"
+
+
+def test_unknown_parameters_of_an_action(spark):
+    with pytest.raises(ValueError):
+        clean.apply_plan(spark.range(3), [{"action": "impute_nan", "target": ["id"], "params": {"way": "zero"}}])
