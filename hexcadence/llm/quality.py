@@ -162,29 +162,30 @@ def references(df: DataFrame, text: str, lang: str, rules: Rules) -> References:
         .agg(F.sum("n").alias("n")),
         "histograms",
     )
-    sums = counts.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total"))
+    words, classes = counts.where("word IS NOT NULL"), counts.where("class IS NOT NULL")
+    sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
     all_words = sums.agg(F.sum("total")).first()[0] or 0
-    large = sums.where((F.col("total") >= rules.own_reference_share * all_words) & F.col("lang").isNotNull())
-    out = References()
-
-    def of(rows: DataFrame, by: list[str]) -> None:
-        own = bool(by)
-        kept = rows.where("word IS NOT NULL").groupBy(*by, "word").agg(F.sum("n").alias("n"))
-        total = kept.groupBy(*by).agg(F.sum("n").alias("total"))
-        shares = (kept.join(total, by) if own else kept.join(F.broadcast(total))).select(
-            *by, "word", (F.col("n") / F.col("total")).alias("share")
-        )
-        for r in shares.where(F.col("share") >= rules.common_share).collect():
-            out.common.setdefault(r["lang"] if own else None, {})[r["word"]] = r["share"]
-        for r in rows.where("class IS NOT NULL").groupBy(*by, "class").agg(F.sum("n").alias("n")).collect():
-            key = r["lang"] if own else None
-            out.classes.setdefault(key, np.zeros(len(CLASSES)))[r["class"]] = r["n"]
-            out.common.setdefault(key, {})
-
-    of(counts.join(large.select("lang"), "lang"), ["lang"])
-    of(counts, [])
-    out.classes.setdefault(None, np.zeros(len(CLASSES)))
-    out.common.setdefault(None, {})
+    # At most 1/own_reference_share languages; they are broadcast, so a frequent language meets in no task.
+    large = F.broadcast(
+        stored(sums.where((F.col("total") >= rules.own_reference_share * all_words) & F.col("lang").isNotNull()), "languages")
+    )
+    every = words.groupBy("word").agg(F.sum("n").alias("n"))
+    common = (
+        words.join(large, "lang").where(F.col("n") >= rules.common_share * F.col("total"))
+        .select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
+    ).unionByName(
+        every.where(F.col("n") >= rules.common_share * all_words)
+        .select(F.lit(None).cast("string").alias("lang"), "word", (F.col("n") / all_words).alias("share"))
+    )
+    by_class = classes.join(large, "lang").groupBy("lang", "class").agg(F.sum("n").alias("n")).unionByName(
+        classes.groupBy("class").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+    )
+    out = References({None: np.zeros(len(CLASSES))}, {None: {}})
+    for r in by_class.collect():
+        out.classes.setdefault(r["lang"], np.zeros(len(CLASSES)))[r["class"]] = r["n"]
+        out.common.setdefault(r["lang"], {})
+    for r in common.collect():
+        out.common[r["lang"]][r["word"]] = r["share"]
     return out
 
 
