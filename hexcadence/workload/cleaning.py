@@ -288,6 +288,22 @@ def first_order_per_customer(spark, d):
     return clean.drop_duplicates(table(spark, d, "orders"), ["o_custkey"], order_by="o_orderkey")
 
 
+# Two of three orders lose their order value, so some customers have none at all.
+_GAPPY = "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS seen FROM orders"
+
+
+@query(
+    "first_order_null_dates",
+    "o_custkey:i seen:i has_row:b",
+    f"SELECT o_custkey, min(seen) AS seen, true AS has_row FROM ({_GAPPY}) AS g GROUP BY 1",
+)
+def first_order_null_dates(spark, d):
+    seen = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", seen.alias("seen"))
+    first = clean.drop_duplicates(orders, ["o_custkey"], order_by="seen")
+    return first.withColumn("has_row", F.col("o_orderkey").isNotNull())
+
+
 @query(
     "last_order_per_customer",
     "o_custkey:i o_orderkey:i o_totalprice:d2",

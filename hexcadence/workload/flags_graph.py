@@ -251,3 +251,17 @@ def forecast_baselines(spark, d):
     )
     grid = cube.densify(counts, "user_id", "time_bin", "n", "daily", min_events=2)
     return graph.baselines(grid, "n", "time_bin")
+
+
+@query(
+    "baselines_null_bins",
+    "event_id:i persistence:i scaled_persistence:d",
+    f"""
+    WITH e AS (SELECT event_id, value, CASE WHEN event_id % 4 != 0 THEN {sql_bin('ts', 'daily')} END AS time_bin FROM events)
+    SELECT event_id, CAST(value > 0 AS INTEGER) AS persistence,
+      least(greatest(value / (max(value) OVER (PARTITION BY time_bin) + 1e-6), 0), 1) AS scaled_persistence FROM e
+    """,
+)
+def baselines_null_bins(spark, d):
+    day = F.when(F.col("event_id") % 4 != 0, T.bin_start("ts", "daily"))
+    return graph.baselines(table(spark, d, "events").withColumn("time_bin", day), "value", "time_bin")

@@ -119,6 +119,19 @@ def fixed_thresholds(spark, d):
     return ev.threshold_sweep(predictions(spark, d), "y_true", "y_proba", ev.REPORT_THRESHOLDS, ["model"])
 
 
+# Twenty uneven thresholds: k cubed over 8,000.
+_UNEVEN = [k**3 / 8000 for k in range(1, 21)]
+
+
+@query(
+    "threshold_sweep_uneven",
+    _SWEEP_COLS,
+    _sweep_sql("SELECT k * k * k / 8000e0 AS threshold FROM range(1, 21) AS r(k)"),
+)
+def threshold_sweep_uneven(spark, d):
+    return ev.threshold_sweep(predictions(spark, d), "y_true", "y_proba", _UNEVEN, ["model"])
+
+
 @query(
     "best_threshold",
     "model:s threshold:d f2:d",

@@ -34,6 +34,24 @@ def temporal_split_bins(spark, d):
     return splits.temporal_split(weekly_orders(spark, d), "time_bin")
 
 
+_GAPS = f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 != 0 THEN time_bin END AS time_bin FROM ({_WEEKLY}) AS w"
+
+
+@query(
+    "temporal_split_null_bins",
+    "o_orderkey:i split:s",
+    f"""
+    SELECT g.o_orderkey, CASE WHEN pos < floor(n * 0.7e0) THEN 'train' ELSE 'test' END AS split FROM ({_GAPS}) g JOIN (
+      SELECT time_bin, coalesce(sum(k) OVER (ORDER BY time_bin NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+        sum(k) OVER () AS n FROM (SELECT time_bin, count(*) AS k FROM ({_GAPS}) AS c GROUP BY 1) AS b) s
+      ON s.time_bin IS NOT DISTINCT FROM g.time_bin
+    """,
+)
+def temporal_split_null_bins(spark, d):
+    gaps = F.when(F.col("o_orderkey") % 5 != 0, F.col("time_bin"))
+    return splits.temporal_split(weekly_orders(spark, d).withColumn("time_bin", gaps), "time_bin")
+
+
 _VAL = (1 - 0.7) / 2
 
 

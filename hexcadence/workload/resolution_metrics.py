@@ -309,6 +309,20 @@ def describe_numeric(spark, d):
     return resolution.describe_numeric(table(spark, d, "lineitem"), _NUM)
 
 
+@query(
+    "describe_with_nan",
+    "column:s count_clean:i nan_count:i min:d mean:d max:d median:d",
+    """
+    SELECT 'l_quantity' AS "column", count(v) AS count_clean, count(*) - count(v) AS nan_count, min(v) AS min, avg(v) AS mean,
+      max(v) AS max, quantile_cont(v, 0.5) AS median
+    FROM (SELECT CASE WHEN l_orderkey % 3 = 1 THEN l_quantity END AS v FROM lineitem) AS t
+    """,
+)
+def describe_with_nan(spark, d):
+    gappy = F.when(F.col("l_orderkey") % 3 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 3 == 1, F.col("l_quantity"))
+    return resolution.describe_numeric(table(spark, d, "lineitem").select(gappy.alias("l_quantity")), ["l_quantity"])
+
+
 _CAT = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 
