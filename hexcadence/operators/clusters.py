@@ -20,6 +20,7 @@ from hexcadence.session import materialise
 _REACH = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
 _SALT = 16
 _HALVINGS = 2
+_MAX_LEVELS = 26  # 52 halvings: the digits of a double
 
 
 def _boxes(points: DataFrame, level: int) -> DataFrame:
@@ -68,7 +69,7 @@ def touching_cells(points: DataFrame, eps: float) -> DataFrame:
     limit = F.lit(eps * eps)
     edges = None
     level = 0
-    while True:
+    for _ in range(_MAX_LEVELS):
         judged = materialise(
             pairs.where(_near2() <= limit).withColumn("_sure", _far2() <= limit)
         )
@@ -98,6 +99,7 @@ def touching_cells(points: DataFrame, eps: float) -> DataFrame:
             children("b"), ["b_gx", "b_gy", "_bx", "_by"]
         )
         pairs = pairs.drop("_ax", "_ay", "_bx", "_by")
+    raise RuntimeError(f"boxes are still undecided after {_MAX_LEVELS} levels: eps is too small for the coordinates")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -74,6 +74,7 @@ class Prepared:
     test: DataFrame
     features: list[str]
     label: str
+    validation: DataFrame | None = None
 
 
 def prepare(
@@ -86,20 +87,23 @@ def prepare(
     numeric: Sequence[str] | None = None,
     train_size: float = splits.TRAIN_SIZE,
     keys: Sequence[str] = (),
+    validation: bool = False,
 ) -> Prepared:
     """Clip, split by time, standardise on the training part only, add balanced weights.
 
-    Both parts are checkpointed: training passes over them many times.
+    With ``validation`` the rows after the training part are halved into validation and test.  Training rows are
+    checkpointed, because training passes over them many times.
     """
     numeric = list(features if numeric is None else numeric)
     df = clean.clip_upper(df, clip or {})
     kept = df.select(*keys, bin_col, label, *features)
-    parts = materialise(splits.temporal_split(kept, bin_col, train_size))
-    train, test = (parts.where(F.col("split") == p).drop("split") for p in ("train", "test"))
+    parts = materialise(splits.temporal_split(kept, bin_col, train_size, validation))
+    train, test, held = (parts.where(F.col("split") == p).drop("split") for p in ("train", "test", "val"))
     stats = scaler_stats(train, numeric)
     weights = class_weights(train, label)
     ready = materialise(with_weights(standardise(train, stats, numeric), weights, label))
-    return Prepared(ready, materialise(standardise(test, stats, numeric)), list(features), label)
+    scaled = [standardise(part, stats, numeric) for part in (test, held)]
+    return Prepared(ready, scaled[0], list(features), label, scaled[1] if validation else None)
 
 
 # --- models -------------------------------------------------------------------------------------
@@ -143,15 +147,21 @@ def fit_logistic(data: Prepared, **params) -> PipelineModel:
     return fit(data.train, data.features, logistic(data.label, total, **params))
 
 
-def stack_models(predictions: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """Logistic regression on the probabilities of several models; adds ``y_stacked``."""
-    wide = predictions.groupBy(*keys, "y_true").pivot("model", list(models)).agg(F.max("y_proba"))
-    wide = materialise(wide)
+def stack_models(fit_on: DataFrame, apply_to: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """Logistic regression on the probabilities of several models; ``y_stacked`` for the rows of ``apply_to``.
+
+    ``fit_on`` holds predictions for rows that no model was trained on and that are not to be judged.
+    """
+
+    def one_row(predictions: DataFrame) -> DataFrame:
+        return predictions.groupBy(*keys, "y_true").pivot("model", list(models)).agg(F.max("y_proba"))
+
+    wide = materialise(one_row(fit_on))
     assembler = VectorAssembler(inputCols=list(models), outputCol="features")
     # The usual unit penalty on a summed loss.
     reg = 1.0 / max(wide.count(), 1)
     final = LogisticRegression(labelCol="y_true", regParam=reg, standardization=False)
-    out = Pipeline(stages=[assembler, final]).fit(wide).transform(wide)
+    out = Pipeline(stages=[assembler, final]).fit(wide).transform(one_row(apply_to))
     return out.select(*keys, "y_true", F.col("prediction").cast("int").alias("y_stacked"))
 
 

@@ -52,10 +52,10 @@ def scan_cubes(spark: SparkSession, names: dict[tuple[int, str], str]) -> DataFr
 
 
 def place_view(df: DataFrame, name: str, columns: Sequence[str], lat: str, lon: str) -> DataFrame:
-    """Register a view of the rows that have a place."""
+    """Register a view of the rows that have a place, and read it."""
     view = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*columns)
     view.createOrReplaceTempView(name)
-    return view
+    return df.sparkSession.table(name)
 
 
 def update_table(

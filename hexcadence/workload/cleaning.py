@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hexcadence.operators import clean, relational
@@ -10,6 +12,16 @@ from hexcadence.sources import files, tables
 from hexcadence.workload.base import BROKEN_EVENTS, PLACED_EVENTS, broken_events, placed_events, query, table
 
 
+def _returned(spark, d):
+    """Per order the value of its returned items."""
+    return (
+        table(spark, d, "lineitem")
+        .where(F.col("l_returnflag") == "R")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.sum("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("cell"))
+    )
+
+
 def _years(spark, d) -> list:
     """Years that occur in the orders (a handful), a null date's last."""
     found = [r[0] for r in table(spark, d, "orders").select(F.year("o_orderdate")).distinct().collect()]
@@ -134,7 +146,36 @@ def json_findings_round_trip(spark, d):
     "SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(*) = count(DISTINCT o_orderkey) AS \"unique\" FROM orders",
 )
 def table_load_validation(spark, d):
-    return tables.key_validation(table(spark, d, "orders"), "o_orderkey")
+    name = f"orders_{uuid.uuid4().hex}"
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"}
+    return tables.save_table(table(spark, d, "orders"), name, dtypes=types, key="o_orderkey", replace=True)
+
+
+@query(
+    "loaded_table",
+    "o_orderkey:i o_totalprice:d2 o_orderpriority:s",
+    "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+)
+def loaded_table(spark, d):
+    name = f"orders_{uuid.uuid4().hex}"
+    for _ in range(2):  # the second load appends
+        tables.save_table(table(spark, d, "orders"), name, partition_by=["o_orderpriority"])
+    return spark.table(name)
+
+
+@query(
+    "updated_table",
+    "o_orderkey:i o_totalprice:d2 cell:s",
+    """
+    SELECT o_orderkey, coalesce(s, o_totalprice) AS o_totalprice, CASE WHEN s IS NOT NULL THEN 'new' END AS cell FROM orders
+    LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) u ON o_orderkey = l_orderkey
+    """,
+)
+def updated_table(spark, d):
+    name = f"orders_{uuid.uuid4().hex}"
+    tables.save_table(table(spark, d, "orders"), name)
+    tables.update_table(spark, name, _returned(spark, d), "o_orderkey", ["o_totalprice", "cell"], into=f"{name}_new")
+    return spark.table(f"{name}_new")
 
 
 @query(
@@ -563,13 +604,9 @@ def left_join_chain(spark, d):
     """,
 )
 def update_from_join(spark, d):
-    src = (
-        table(spark, d, "lineitem")
-        .where(F.col("l_returnflag") == "R")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("cell"))
+    return relational.update_from(
+        table(spark, d, "orders"), _returned(spark, d), "o_orderkey", ["o_totalprice", "cell"]
     )
-    return relational.update_from(table(spark, d, "orders"), src, "o_orderkey", ["o_totalprice", "cell"])
 
 
 @query(

@@ -162,12 +162,12 @@ FEATURES = [
 ]
 
 
-def model_data(spark, d):
+def model_data(spark, d, validation=False):
     o = placed_orders(spark, d)
     feats = forecast.feature_table(o, "c_nationkey", "o_orderdate", "weekly", target="n", cyclic=True)
     busy = feats.withColumn("label", (F.col("n") >= F.col("roll_mean_8")).cast("int"))
     keyed = busy.withColumn("row_id", F.xxhash64("c_nationkey", "time_bin"))
-    return modelling.prepare(keyed, FEATURES, "label", "time_bin", clip={"zero_streak_prev": 10}, keys=["row_id"])
+    return modelling.prepare(keyed, FEATURES, "label", "time_bin", clip={"zero_streak_prev": 10}, keys=["row_id"], validation=validation)
 
 
 @query("logistic_forecast", "row_id:i y_true:i y_pred:i y_proba:d")
@@ -200,17 +200,24 @@ def tree_importance(spark, d):
 def permutation_importance(spark, d):
     data = model_data(spark, d)
     model = modelling.fit_logistic(data)
-    return modelling.permutation_importance(model, data.test, FEATURES, "label", "row_id", repeats=2)
+    return modelling.permutation_importance(model, data.test, FEATURES, "label", "row_id")
 
 
 @query("stacked_models", "row_id:i y_true:i y_stacked:i")
 def stacked_models(spark, d):
-    data = model_data(spark, d)
-    first = modelling.predict(modelling.fit_logistic(data), data.test, "label", ["row_id"])
-    tree = modelling.fit(data.train, FEATURES, modelling.boosted("label", maxIter=10, stepSize=0.2))
-    second = modelling.predict(tree, data.test, "label", ["row_id"])
-    both = first.withColumn("model", F.lit("logistic")).unionByName(second.withColumn("model", F.lit("boosted")))
-    return modelling.stack_models(both, ["row_id"], ["logistic", "boosted"])
+    data = model_data(spark, d, validation=True)
+    models = {
+        "logistic": modelling.fit_logistic(data),
+        "boosted": modelling.fit(data.train, FEATURES, modelling.boosted("label", maxIter=10, stepSize=0.2)),
+    }
+
+    def predictions(rows):
+        first, second = (
+            modelling.predict(m, rows, "label", ["row_id"]).withColumn("model", F.lit(name)) for name, m in models.items()
+        )
+        return first.unionByName(second)
+
+    return modelling.stack_models(predictions(data.validation), predictions(data.test), ["row_id"], list(models))
 
 
 @query("threshold_refit", "model:s C:d best_t:d precision:d recall:d f1:d f2:d roc_auc:d pr_auc:d")

@@ -559,3 +559,17 @@ def test_merge_by_real_matches(spark):
 def test_unknown_parameters_of_an_action(spark):
     with pytest.raises(ValueError):
         clean.apply_plan(spark.range(3), [{"action": "impute_nan", "target": ["id"], "params": {"way": "zero"}}])
+
+
+def test_both_rolling_forms_agree(spark, monkeypatch):
+    random.seed(3)
+    rows = [(c, i, random.choice([None, 0.0, 1.5, random.random() * 1e6])) for c in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "cell string, bin int, y double")
+    out = []
+    for limit in (16, 0):
+        monkeypatch.setattr(windows, "MAX_ROLL_BY_LAGS", limit)
+        got = windows.ts_features(df, "cell", "bin", "y", rolls=[2, 4, 9]).orderBy("cell", "bin")
+        out.append(got.select(sorted(got.columns)).collect())
+    for a, b in zip(*out, strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == y or x == pytest.approx(y, rel=1e-6, abs=1e-3)
