@@ -22,6 +22,7 @@ PIVOTS = 256  #: cells at most; pivots are a bounded sample that steers pruning,
 _FINEST = 1e-3  #: below this radius a node's children are its rows
 _EPS = 1e-7  #: slack of the bounds, above the rounding of small distances; what they leave open is decided by the cosine
 _DENSE = 1 << 21  #: node pairs measured at once
+_WIDE = 32  #: partners from which on a node's are measured together
 
 
 class Tree:
@@ -33,6 +34,7 @@ class Tree:
         self.x, self.radius = vectors, radius
         self.center, self.start, self.end, self.child, self.children = nodes
         self.size = self.end - self.start
+        self.centers = vectors[self.center].astype(np.float32)
 
     @staticmethod
     def build(unit: np.ndarray) -> tuple[Tree, np.ndarray]:
@@ -52,6 +54,7 @@ class Tree:
             scale.append(level)
 
         add(np.arange(len(unit)), 0, 0, 2.0)
+        scale[0] = radius[0]  # the levels halve from the root's own radius
         at = 0
         while at < len(nodes):
             rows, level, start = todo[at], scale[at] / 2, nodes[at][1]
@@ -109,10 +112,10 @@ def near_pairs(a: Tree, b: Tree | None, threshold: float) -> tuple[np.ndarray, l
     change = np.zeros(na + nb + 1, np.int64)  # of the number of links, from row to row
     hub_a, hub_b = na + nb, na + nb + (0 if own else len(a.center))
     shift = 0 if own else na
-    whole_i, whole_j = [], []
+    whole_i, whole_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     i, j = np.array([0]), np.array([0])
     while len(i):
-        next_i, next_j = [], []
+        next_i, next_j = [i[:0]], [j[:0]]
         for ci, cj, cos in _children(a, b, i, j, own, reach + _EPS):
             far = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
             bound = a.radius[ci] + b.radius[cj]
@@ -164,12 +167,31 @@ def _children(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, own: bool, reach:
                     keep = ci <= cj
                     ci, cj, cos = ci[keep], cj[keep], cos[keep]
                 yield ci, cj, cos
-    small = np.flatnonzero(cost <= _DENSE // 8)
-    ends = np.cumsum(cost[small])
+    rest = np.flatnonzero(cost <= _DENSE // 8)
+    # A wide node meets many others at once: its children against all of theirs.
+    for x, y, fx, nx, fy, ny, turned in ((i, j, fi, ni, fj, nj, False), (j, i, fj, nj, fi, ni, True)):
+        rest = rest[np.argsort(x[rest], kind="stable")]
+        _, at, times = np.unique(x[rest], return_index=True, return_counts=True)
+        left = []
+        for s, n in zip(at.tolist(), times.tolist(), strict=True):
+            k = rest[s : s + n]
+            mine = k[x[k] != y[k]] if own else k
+            if len(mine) < _WIDE or nx[mine[0]] == 1:
+                left.append(k)
+                continue
+            left.append(k[x[k] == y[k]] if own else k[:0])
+            rows = np.arange(fx[mine[0]], fx[mine[0]] + nx[mine[0]])
+            columns = _ranges(fy[mine], ny[mine])
+            if turned:
+                yield from _dense(a, b, columns, rows, reach, False)
+            else:
+                yield from _dense(a, b, rows, columns, reach, False)
+        rest = np.concatenate(left) if left else rest
+    ends = np.cumsum(cost[rest])
     s = 0
-    while s < len(small):
+    while s < len(rest):
         e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + _DENSE // 8, side="right")))
-        k = small[s:e]
+        k = rest[s:e]
         pair = np.repeat(k, cost[k])
         within = np.arange(len(pair)) - np.repeat(np.cumsum(cost[k]) - cost[k], cost[k])
         ci, cj = fi[pair] + within // nj[pair], fj[pair] + within % nj[pair]
@@ -180,16 +202,21 @@ def _children(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, own: bool, reach:
         s = e
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for count[0] numbers, then the same for the others."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 def _dense(a: Tree, b: Tree, rows: np.ndarray, columns: np.ndarray, reach: float, single: bool):
     """Pairs of nodes within reach of each other: found in single precision with a margin, measured in double."""
     if not len(rows) or not len(columns):
         return
-    right = b.x[b.center[columns]].astype(np.float32).T
+    right = b.centers[columns].T
     step = max(1, _DENSE // len(columns))
     for s in range(0, len(rows), step):
         part = rows[s : s + step]
         limit = reach if single else reach + a.radius[part][:, None] + b.radius[columns][None, :]
-        r, c = np.nonzero(a.x[a.center[part]].astype(np.float32) @ right >= 1 - limit * limit / 2 - 1e-4)
+        r, c = np.nonzero(a.centers[part] @ right >= 1 - limit * limit / 2 - 1e-4)
         ci, cj = part[r], columns[c]
         for t in range(0, len(ci), _DENSE // 8):
             p, q = ci[t : t + _DENSE // 8], cj[t : t + _DENSE // 8]
@@ -239,8 +266,8 @@ def _assign(pivots: np.ndarray, dims: int):
 def _plant(dims: int):
     def run(key, group):
         group = group.sort_by("uid")
-        unit = _unit(_matrix(group["vec"], dims))
-        tree, order = Tree.build(unit)
+        raw = _matrix(group["vec"], dims)
+        tree, order = Tree.build(_unit(raw))
         nodes = np.array([tree.center, tree.start, tree.end, tree.child, tree.children], np.int64)
         ids = group["uid"].to_numpy()[order]
         return pa.table(
@@ -249,7 +276,7 @@ def _plant(dims: int):
                 "part": pa.array([key[1].as_py()], pa.int32()),
                 "n": pa.array([len(ids)], pa.int32()),
                 "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                "vectors": pa.array([tree.x.tobytes()], pa.binary()),
+                "vectors": pa.array([raw[order].tobytes()], pa.binary()),
                 "nodes": pa.array([nodes.tobytes()], pa.binary()),
                 "radius": pa.array([tree.radius.tobytes()], pa.binary()),
             }
@@ -258,21 +285,22 @@ def _plant(dims: int):
     return run
 
 
-def _grown(row: dict) -> tuple[np.ndarray, Tree]:
+def _grown(row: dict, dtype: str) -> tuple[np.ndarray, Tree]:
     ids = np.frombuffer(row["ids"], "<i8")
     nodes = np.frombuffer(row["nodes"], np.int64).reshape(5, -1)
-    return ids, Tree(np.frombuffer(row["vectors"]).reshape(len(ids), -1), nodes, np.frombuffer(row["radius"]))
+    unit = _unit(np.frombuffer(row["vectors"], dtype).reshape(len(ids), -1))
+    return ids, Tree(unit, nodes, np.frombuffer(row["radius"]))
 
 
-def _traverse(threshold: float):
+def _traverse(threshold: float, dtype: str):
     """Of one or two blocks: (uid, links found here, least uid of its component here) for rows that have links."""
 
     def run(group):
         rows = sorted(group.to_pylist(), key=lambda r: (r["cell"], r["part"]))
-        ids, a = _grown(rows[0])
+        ids, a = _grown(rows[0], dtype)
         b = None
         if len(rows) > 1:
-            more, b = _grown(rows[1])
+            more, b = _grown(rows[1], dtype)
             ids = np.concatenate([ids, more])
         links, (u, v) = near_pairs(a, b, threshold)
         # Components over rows and hubs; a component's name is its least uid.
@@ -297,11 +325,13 @@ def near_components(df: DataFrame, id_col: str, vector: str, threshold: float =
     space evenly, as at random in many dimensions, no bound helps and all block pairs remain.
     """
     uid = "uid"
+    floats = df.schema[vector].dataType.simpleString() == "array<float>"
+    value = named(vector) if floats else named(vector).cast("array<double>")
     rows = stored(
         df.select(
             F.monotonically_increasing_id().alias(uid),
             named(id_col).alias("id"),
-            F.when(usable(named(vector)), named(vector)).alias("vec"),
+            F.when(usable(named(vector)), value).alias("vec"),
         ),
         "vectors",
     )
@@ -333,6 +363,7 @@ def _links(rows: DataFrame, dims: int, threshold: float, block: int) -> DataFram
     sample = rows.orderBy(F.xxhash64("uid"), "uid").limit(max(1, min(PIVOTS, -(-n // block)))).select("vec").toArrow()
     pivots = _unit(_matrix(sample["vec"], dims))
     kind = rows.schema["vec"].dataType.simpleString()
+    dtype = "<f4" if kind == "array<float>" else "<f8"
     placed = stored(rows.mapInArrow(_assign(pivots, dims), f"uid bigint, vec {kind}, cell int, far double"), "cells")
     cells = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     parts = {c: -(-m // block) for c, (m, _) in cells.items()}
@@ -355,4 +386,4 @@ def _links(rows: DataFrame, dims: int, threshold: float, block: int) -> DataFram
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.least(me, it).alias("low"), F.greatest(me, it).alias("high"), "cell", "part", "n", "ids", "vectors", "nodes", "radius")
     )
-    return met.groupBy("low", "high").applyInArrow(_traverse(threshold), "uid bigint, links bigint, root bigint")
+    return met.groupBy("low", "high").applyInArrow(_traverse(threshold, dtype), "uid bigint, links bigint, root bigint")
