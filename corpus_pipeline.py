@@ -33,8 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every span of personal data replaced by its kind; n_chars follows the text."""
-    (spans,) = free_names(docs, "pii")
-    masked = pii.mask(pii.find(docs, "text", into=spans), "text", spans)
+    masked = pii.mask(docs, "text")
     if "n_chars" not in masked.columns:
         return masked
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one call of a row function sees; bounds the objects it makes.
 SLICE_CHARS = 2_000_000
 
+#: Bytes that an Arrow batch may hold.
+BATCH_BYTES = "4m"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query of (spark, sf_dir), with the SQL that must give the same rows if there is one."""
@@ -67,6 +70,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of text that travel to a task's Python at once; a longer text travels alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _slices(batch: pa.RecordBatch, texts: list[int]) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_CHARS bytes of text each; a longer text stands alone."""
     if batch.num_rows == 0:
@@ -114,6 +122,7 @@ def map_rows(
 
         fn = make()
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # tasks keep their Python, and it would keep its largest batch
             for part in _slices(batch, texts):
                 new = fn(*[part.column(i).to_pylist() for i in at])
                 if new.type != kind:
@@ -122,6 +131,7 @@ def map_rows(
                     [part.column(i) for i in range(n_kept)] + [new], names=[f.name for f in schema]
                 )
 
+    small_batches(df.sparkSession)
     return source.mapInArrow(run, schema).select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("new").alias(into)
     )

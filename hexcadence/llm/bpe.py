@@ -32,7 +32,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CHUNK_CHARS = 1 << 18  #: characters the splitter reads at once
 WINDOW_BYTES = 1 << 12  #: bytes the merger holds besides the lookahead
 SHORT_BYTES = 96  #: pieces up to this length are merged side by side; the result does not depend on it
-CACHE_PIECES = 400_000  #: encoded pieces a task remembers
+CACHE_PIECES = 150_000  #: encoded pieces a task remembers
 _NONE = np.int64(1 << 40)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexcadence.llm.base import free_names, map_rows, named, stored
+from hexcadence.llm.base import free_names, map_rows, named, small_batches, stored
 from hexcadence.llm.quality import words_of
 
 # The kinds in order, and their forms.
@@ -202,6 +202,7 @@ def discover(df: DataFrame, text: str, limits: Bootstrap | None = None) -> DataF
         for r in edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("values"))
         .where(F.col("values") >= support).select("pattern").distinct().toLocalIterator()
     ]
+    small_batches(spark)
     totals = stored(
         source.select(body).mapInArrow(_count_contexts(frozenset(patterns)), "pattern string, n bigint")
         .groupBy("pattern").agg(F.sum("n").alias("total")),
@@ -249,18 +250,14 @@ def find(
     named ``into`` is replaced. The added spans are joined by the text's digest: the planner broadcasts their file
     if it is small enough.
     """
-    added = discover(df, text) if added is None else added
     kept = [c for c in (df.columns if keep is None else keep) if c != into]
-    key, more, body = free_names(df, "text_key", "added", "body")
-    right = added.select(F.col("text_key").alias(key), F.col("added").alias(more))
-    rows = df.withColumn(key, _text_key(named(text))).join(right, key, "left")
+    rows, more = _with_added(df, text, added)
 
     def make():
         def run(texts, extra):
             base = [base_spans(t or "") for t in texts]
-            spans = [sorted(b + [(s["kind"], s["start"], s["end"]) for s in x or []]) for b, x in zip(base, extra, strict=True)]
-            as_structs = lambda rows: pa.array([[dict(zip(SPAN.fieldNames(), s, strict=True)) for s in r] for r in rows], _SPANS)
-            return pa.StructArray.from_arrays([as_structs(base), as_structs(spans)], names=["base", "spans"])
+            spans = [sorted(b + _as_tuples(x)) for b, x in zip(base, extra, strict=True)]
+            return pa.StructArray.from_arrays([_as_structs(base), _as_structs(spans)], names=["base", "spans"])
 
         return run
 
@@ -268,6 +265,22 @@ def find(
     return map_rows(rows, [text, more], into, dtype, make, kept)
 
 
+def _with_added(df: DataFrame, text: str, added: DataFrame | None) -> tuple[DataFrame, str]:
+    """The rows with their text's added spans, joined by digest, and that column's name."""
+    added = discover(df, text) if added is None else added
+    key, more = free_names(df, "text_key", "added")
+    right = added.select(F.col("text_key").alias(key), F.col("added").alias(more))
+    return df.withColumn(key, _text_key(named(text))).join(right, key, "left").drop(key), more
+
+
+def _as_tuples(spans) -> list[tuple[int, int, int]]:
+    return [(s["kind"], s["start"], s["end"]) for s in spans or []]
+
+
+def _as_structs(rows) -> pa.Array:
+    return pa.array([[dict(zip(SPAN.fieldNames(), s, strict=True)) for s in r] for r in rows], _SPANS)
+
+
 def listed(spans) -> F.Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -292,15 +305,15 @@ def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join([*out, text[end:]])
 
 
-def mask(df: DataFrame, text: str, spans: str) -> DataFrame:
-    """Replace ``text`` by its redacted form, by the ``spans`` array of struct column ``spans``; that column goes."""
-    keep = [c for c in df.columns if c not in (text, spans)]
-    body = free_names(df, "body")[0]
+def mask(df: DataFrame, text: str, added: DataFrame | None = None) -> DataFrame:
+    """Replace every span that ``find`` would report in ``text`` by its kind, in one pass; null stays null."""
+    rows, more = _with_added(df, text, added)
+    (body,) = free_names(df, "body")
 
     def make():
-        return lambda texts, found: pa.array(
-            [redact(t, [(s["kind"], s["start"], s["end"]) for s in f["spans"]]) for t, f in zip(texts, found, strict=True)], pa.string()
+        return lambda texts, extra: pa.array(
+            [redact(t, base_spans(t or "") + _as_tuples(x)) for t, x in zip(texts, extra, strict=True)], pa.string()
         )
 
-    masked = map_rows(df, [text, spans], body, T.StringType(), make, keep)
-    return masked.select(*[(F.col(body) if c == text else named(c)).alias(c) for c in df.columns if c != spans])
+    masked = map_rows(rows, [text, more], body, T.StringType(), make, [c for c in df.columns if c != text])
+    return masked.select(*[(F.col(body) if c == text else named(c)).alias(c) for c in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexcadence.llm.base import free_names, map_rows, named, stored
+from hexcadence.llm.base import free_names, map_rows, named, small_batches, stored
 
 # White space of the word pattern, and the symbols that are counted.
 SPACE = " \t\n\v\f\r"
@@ -155,6 +155,7 @@ def references(df: DataFrame, text: str, lang: str, rules: Rules) -> References:
     ``common_share`` of a language come to the driver, so at most 1/common_share for each of at most
     1/own_reference_share languages.
     """
+    small_batches(df.sparkSession)
     counts = stored(
         df.select(named(text), named(lang).cast("string"))
         .mapInArrow(_count_words(text, lang, rules.min_words), "lang string, word string, class int, n bigint")

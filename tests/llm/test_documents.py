@@ -168,7 +168,7 @@ def test_contexts_discover_unseen_identifiers(spark):
     added = {k: [r["text"][s["start"] : s["end"]] for s in r["pii"]["spans"] if s not in r["pii"]["base"]] for k, r in rows.items()}
     assert {k: v for k, v in added.items() if v} == {12: ["root@localhost"], 13: ["555-010-7777"], 99: ["root@localhost"]}
     assert [s["kind"] for s in rows[12]["pii"]["spans"]] == [0] and [s["kind"] for s in rows[13]["pii"]["spans"]] == [3]
-    masked = {r["doc_id"]: r["text"] for r in pii.mask(pii.find(docs, "text"), "text", "pii").collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs, "text").collect()}
     assert "write to [EMAIL]," in masked[12] and "ring me [PHONE] " in masked[13] and "[EMAIL]" in masked[0]
     assert masked[14] == rows[14]["text"]
 
@@ -208,7 +208,7 @@ def test_pii_hard_rows(spark):
     docs = hard_docs(spark)
     found = pii.find(docs, "text", into="spans")
     assert set(docs.columns) | {"spans"} == set(found.columns) and found.count() == docs.count()
-    masked = pii.mask(found, "text", "spans")
+    masked = pii.mask(docs, "text")
     assert masked.columns == docs.columns and sorted(map(str, masked.collect())) == sorted(map(str, docs.collect()))
     assert pii.find(empty_docs(spark), "text").count() == 0
 
