@@ -23,11 +23,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 _LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP, _CARD, _PHONE = re.compile(IP), re.compile(CARD), re.compile(PHONE)
+_CARD, _PHONE = re.compile(CARD), re.compile(PHONE)
+#: Numbers joined by single dots; four of them in a row are what IP matches, and no text is read twice for it.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
-#: Whatever may be an identifier: a run with a digit or @ in it, over single blanks if digits follow.
-_LIKE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[(0-9][0-9().-]*(?=[\x20\x09-\x0D.,;]|$))*")
+_SPACES = " \t\n\v\f\r"
+_HINT = re.compile(r"[0-9@]")
+#: The rest of a word, and what follows it over single blanks if that is digits.
+_REST = re.compile(r"[^\x20\x09-\x0D]*(?:\x20[(0-9][0-9().-]*(?=[\x20\x09-\x0D.,;]|$))*")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 
@@ -57,11 +61,33 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, free))
 
 
+def _addresses(text: str):
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        parts, start = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            end = start + sum(map(len, parts[i : i + 4])) + 3
+            if all(map(_octet, parts[i : i + 4])):
+                yield start, end
+            start = end + 1
+
+
+def _words_with_hints(text: str):
+    """Start and end of every word that holds a digit or @, with the digits that follow over single blanks."""
+    at = 0
+    while m := _HINT.search(text, at):
+        start = 1 + max(max(text.rfind(c, at, m.start()) for c in _SPACES), at - 1)
+        end = _REST.match(text, m.start()).end()
+        yield start, end
+        at = end
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) in code points, by kind and start; failing matches are dropped without a retry."""
     out = [(0, a, b) for a, b in _emails(text)]
     if _DIGITS.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_octet, m.group().split(".")))]
+        out += [(1, a, b) for a, b in _addresses(text)]
         if _LONG_DIGITS.search(text):
             for m in _CARD.finditer(text):
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -94,10 +120,10 @@ def occurrences(text: str) -> list[tuple[int, int, int, str, bool, str, str]]:
     found = [(k, a, b, True) for k, a, b in seeds]
     if "@" in text or _DIGITS.search(text):
         i = 0
-        for m in _LIKE.finditer(text):
-            value = m.group()
-            a = m.start() + len(value) - len(value.lstrip(_EDGE))
-            b = m.end() - len(value) + len(value.rstrip(_EDGE))
+        for first, last in _words_with_hints(text):
+            value = text[first:last]
+            a = first + len(value) - len(value.lstrip(_EDGE))
+            b = last - len(value) + len(value.rstrip(_EDGE))
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
             if b - a < 5 or (i < len(taken) and taken[i][0] < b):

@@ -151,6 +151,9 @@ def test_base_spans_equal_the_forms():
         assert pii.base_spans(text) == plain_spans(text), text
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.base_spans("1." + "0" * 5000 + "1.2." + "9" * 5000) == []
+    # Long runs take one pass each.
+    for text in ("1" * 300_000, "1." * 150_000, "x" * 300_000 + " 1@", "a" * 300_000 + "@" + "b" * 300_000, "1@" * 100_000):
+        assert pii.occurrences(text) is not None and len(pii.base_spans(text)) in (0, 37_500)
 
 
 def taught(spark):
