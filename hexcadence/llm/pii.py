@@ -6,10 +6,12 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from hexcadence.llm.base import free_names, map_rows, named, small_batches, stored
 from hexcadence.llm.quality import words_of
@@ -34,6 +36,8 @@ _HINT = re.compile(r"[0-9@]")
 _REST = re.compile(r"[^\x20\x09-\x0D]*(?:\x20[(0-9][0-9().-]*(?=[\x20\x09-\x0D.,;]|$))*")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
+FILTER_BITS = 24  #: power of two of the bits in the filter of patterns (2 MB)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -158,7 +162,6 @@ class Bootstrap:
 
     rounds: int = 3  #: times that scores go from instances to patterns and back
     min_values: int = 3  #: different values that a context must precede to be a pattern
-    min_values_share: float = 1e-5  #: or this share of all occurrences if that is more: at most 2e5 patterns
     min_confidence: float = 0.5  #: of a pattern, to score instances
     min_score: float = 0.6  #: of an instance, to be reported
 
@@ -167,22 +170,77 @@ def _text_key(text):
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _count_contexts(patterns: frozenset[str]):
-    """Per task: how often each pattern's words stand in the texts, whatever follows them."""
-    ones = frozenset(p for p in patterns if " " not in p)
-    twos = frozenset(tuple(p.split(" ")) for p in patterns if " " in p)
+class _Hashes(dict):
+    """Word -> 64-bit hash, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of each two neighbours."""
+    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both bits of a hash in the filter."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return (h >> np.uint64(40)) & mask, (h >> np.uint64(16)) & mask
+
+
+def _mark(batches):
+    """Per task: rows (block of 64 bits, bits) of the filter that the patterns set."""
+    blocks: dict[int, int] = {}
+    for batch in batches:
+        for p in batch.column(0).to_pylist():
+            h = np.array(list(map(_Hashes().__getitem__, p.split(" "))), np.uint64)
+            for place in _places(_pair_hashes(h) if len(h) > 1 else h):
+                at = int(place[0])
+                blocks[at >> 6] = blocks.get(at >> 6, 0) | 1 << (at & 63)
+    bits = np.array(list(blocks.values()), np.uint64).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(blocks.keys(), pa.int32()), pa.array(bits, pa.int64())], names=["block", "bits"])
+
+
+def _filter_of(patterns: DataFrame) -> np.ndarray:
+    """Bits that every pattern has: of one size for any number of patterns; others may pass, none is lost."""
+    marks = patterns.select("pattern").mapInArrow(_mark, "block int, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[marks["block"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _count_contexts(bits: np.ndarray, held: int = 100_000):
+    """Per task: how often words and two-word sequences that pass the filter stand in the texts, whatever follows them;
+    flushed whenever ``held`` are known."""
+
+    def passing(h: np.ndarray) -> list[int]:
+        one, two = _places(h)
+        six, low = np.uint64(6), np.uint64(63)
+        return np.flatnonzero((bits[one >> six] >> (one & low)) & (bits[two >> six] >> (two & low)) & np.uint64(1)).tolist()
+
+    def flush(total: Counter) -> pa.RecordBatch:
+        rows = [pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())]
+        total.clear()
+        return pa.RecordBatch.from_arrays(rows, names=["pattern", "n"])
 
     def run(batches):
         total: Counter = Counter()
+        hashes = _Hashes()
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py() or "")[:-1] if text.is_valid else []
-                total.update(filter(ones.__contains__, words))
-                total.update(filter(twos.__contains__, zip(words, words[1:], strict=False)))
-        names = [p if isinstance(p, str) else " ".join(p) for p in total]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(total.values(), pa.int64())], names=["pattern", "n"]
-        )
+                if not words:
+                    continue
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                total.update([words[i] for i in passing(h)])
+                total.update([f"{words[i]} {words[i + 1]}" for i in passing(_pair_hashes(h))])
+                if len(hashes) > held:
+                    hashes.clear()
+                if len(total) > held:
+                    yield flush(total)
+        yield flush(total)
 
     return run
 
@@ -197,8 +255,8 @@ def discover(df: DataFrame, text: str, limits: Bootstrap | None = None) -> DataF
        of its occurrences, an instance's score is what its confident patterns give it together (seeds have 1).
     5. Instances that are no seeds, but score high, are reported where a confident pattern precedes them.
 
-    Values are counted once however many copies a text has. All tables are keyed and grouped in Spark; only the
-    patterns (bounded by a share of the occurrences) go to every task.
+    Values are counted once however many copies a text has. All tables are keyed and grouped in Spark. Patterns need
+    no bound: tasks get a filter of fixed size, and what passes it is semi-joined with the patterns.
     """
     limits = limits or Bootstrap()
     spark = df.sparkSession
@@ -222,18 +280,18 @@ def discover(df: DataFrame, text: str, limits: Bootstrap | None = None) -> DataF
     edges = stored(
         seen.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph"
     )
-    support = F.greatest(F.lit(limits.min_values), F.ceil(F.lit(limits.min_values_share * seen.count())))
-    patterns = [
-        r["pattern"]
-        for r in edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("values"))
-        .where(F.col("values") >= support).select("pattern").distinct().toLocalIterator()
-    ]
+    patterns = stored(
+        edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("values"))
+        .where(F.col("values") >= limits.min_values).select("pattern").distinct(),
+        "patterns",
+    )
     small_batches(spark)
+    bits = _filter_of(patterns)
     totals = stored(
-        source.select(body).mapInArrow(_count_contexts(frozenset(patterns)), "pattern string, n bigint")
-        .groupBy("pattern").agg(F.sum("n").alias("total")),
+        source.select(body).mapInArrow(_count_contexts(bits), "pattern string, n bigint")
+        .groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi"),
         "contexts",
-    ) if patterns else spark.createDataFrame([], "pattern string, total bigint")
+    ) if bits.any() else spark.createDataFrame([], "pattern string, total bigint")
     graph = stored(edges.join(totals, "pattern"), "graph")
     scores = graph.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
     confident = None

@@ -189,6 +189,33 @@ def test_a_second_round_reaches_further(spark):
         assert any("fresh" in r["text"] and r["pii"]["spans"] for r in out) == want
 
 
+def test_a_large_table_needs_no_more_values(spark):
+    """One text of many identifiers in 450 copies doesn't raise the number of values that another context needs."""
+    rows = [f"{prose(i, 8)} please write to user{i}@mail.example.com {prose(i + 50, 5)}" for i in range(3)]
+    rows += [f"{prose(70, 9)} please write to root@localhost, {prose(71, 4)}"]
+    many = " ".join(f"{w} of box{i}@mail.example.com" for i, w in enumerate(prose(5, 500).split()))
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    for df in (docs, docs.union(spark.range(450).select(F.lit(many)))):
+        out = pii.find(df, "text").where("text LIKE '%root@%'").collect()
+        assert [[r["text"][s["start"] : s["end"]] for s in r["pii"]["spans"]] for r in out] == [["root@localhost"]]
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_context_counts_equal_brute_force(spark, full):
+    texts = [prose(i, 5 + i) for i in range(60)] + [None, "", "é漢😀 x y", "one"]
+    words = [WORDS.findall(t or "")[:-1] for t in texts]
+    want = Counter(w for x in words for w in x) + Counter(f"{a} {b}" for x in words for a, b in zip(x, x[1:], strict=False))
+    patterns = sorted(want)[::3] + ["not there", "nowhere"]
+    bits = pii._filter_of(spark.createDataFrame([(p,) for p in patterns], "pattern string").repartition(3))
+    if full:  # every bit set, as by very many patterns
+        bits = ~np.zeros_like(bits)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = Counter()
+    for r in df.mapInArrow(pii._count_contexts(bits, held=7), "pattern string, n bigint").collect():
+        got[r["pattern"]] += r["n"]
+    assert got == want if full else {p: got[p] for p in patterns} == {p: want[p] for p in patterns}
+
+
 def test_redact():
     assert pii.redact("a b@c.de f", [(0, 2, 8)]) == "a [EMAIL] f"
     assert pii.redact("0123456789", [(2, 0, 6), (3, 4, 8), (1, 0, 3)]) == "[CARD]89"
