@@ -84,16 +84,20 @@ class Rules:
     min_common_words: int = 100  #: texts of fewer words are not judged by common words
     max_common_distance: float = 0.45
     common_share: float = 0.002  #: a word is common if it is at least this share of its language's words
-    own_reference_share: float = 0.001  #: a language needs this share of all words to be judged by itself
+    own_reference_share: float = 0.001  #: languages of this share of all words have their reference sent to every task
+    min_reference_words: int = 5000  #: languages of fewer words are not judged by divergence
 
 
 @dataclass
 class References:
-    """Histograms by language; None stands for all languages together. At most 1/own_reference_share languages, each
-    with at most 1/common_share words, so they can be sent to every task."""
+    """Histograms by language; None stands for all languages together and judges rows without a language. At most
+    1/own_reference_share languages, each with at most 1/common_share words, so they can be sent to every task. Those
+    of all other languages are the rows (lang, classes, common) of ``rare``, which are joined to the texts."""
 
     classes: dict[str | None, np.ndarray] = field(default_factory=dict)
     common: dict[str | None, dict[str, float]] = field(default_factory=dict)
+    total: dict[str | None, int] = field(default_factory=dict)  #: words that were counted
+    rare: DataFrame | None = None
 
     def of(self, lang: str | None) -> str | None:
         return lang if lang in self.classes else None
@@ -151,9 +155,9 @@ def _count_words(text: str, lang: str, min_words: int, held: int = 100_000):
 def references(df: DataFrame, text: str, lang: str, rules: Rules) -> References:
     """Histograms of each language over all texts that have enough words.
 
-    Words are counted in the tasks first, then summed up by (language, word); only words that make up
-    ``common_share`` of a language come to the driver, so at most 1/common_share for each of at most
-    1/own_reference_share languages.
+    Words are counted in the tasks first, then summed up by (language, word). Of languages with own_reference_share
+    of all words, those that make up ``common_share`` come to the driver: at most 1/common_share words for each of at
+    most 1/own_reference_share languages. The others' references stay in Spark, one row for each language.
     """
     small_batches(df.sparkSession)
     counts = stored(
@@ -166,10 +170,11 @@ def references(df: DataFrame, text: str, lang: str, rules: Rules) -> References:
     words, classes = counts.where("word IS NOT NULL"), counts.where("class IS NOT NULL")
     sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
     all_words = sums.agg(F.sum("total")).first()[0] or 0
+    sums = stored(sums.where(F.col("lang").isNotNull()), "languages")
+    own = F.col("total") >= rules.own_reference_share * all_words
     # At most 1/own_reference_share languages; they are broadcast, so a frequent language meets in no task.
-    large = F.broadcast(
-        stored(sums.where((F.col("total") >= rules.own_reference_share * all_words) & F.col("lang").isNotNull()), "languages")
-    )
+    large = F.broadcast(sums.where(own))
+    small = sums.where(~own & (F.col("total") >= rules.min_reference_words))
     every = words.groupBy("word").agg(F.sum("n").alias("n"))
     common = (
         words.join(large, "lang").where(F.col("n") >= rules.common_share * F.col("total"))
@@ -181,12 +186,23 @@ def references(df: DataFrame, text: str, lang: str, rules: Rules) -> References:
     by_class = classes.join(large, "lang").groupBy("lang", "class").agg(F.sum("n").alias("n")).unionByName(
         classes.groupBy("class").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
     )
-    out = References({None: np.zeros(len(CLASSES))}, {None: {}})
+    out = References({None: np.zeros(len(CLASSES))}, {None: {}}, {None: all_words})
     for r in by_class.collect():
         out.classes.setdefault(r["lang"], np.zeros(len(CLASSES)))[r["class"]] = r["n"]
         out.common.setdefault(r["lang"], {})
     for r in common.collect():
         out.common[r["lang"]][r["word"]] = r["share"]
+    out.total |= {r["lang"]: r["total"] for r in sums.where(own).collect()}
+    if not small.isEmpty():
+        shares = (
+            words.join(small, "lang").where(F.col("n") >= rules.common_share * F.col("total"))
+            .groupBy("lang").agg(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))).alias("common"))
+        )
+        sizes = (
+            classes.join(small, "lang").groupBy("lang", "class", "total").agg(F.sum("n").alias("n"))
+            .groupBy("lang", "total").agg(F.array_sort(F.collect_list(F.struct("class", "n"))).alias("classes"))
+        )
+        out.rare = stored(sizes.join(shares, "lang", "left").select("lang", "total", "classes", "common"), "references")
     return out
 
 
@@ -204,12 +220,14 @@ def judge(text: str | None, lang: str | None, refs: References, rules: Rules) ->
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     n, chars, repeats = len(words), sum(map(len, words)), repeated_words(words)
     failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+    # A language that is unknown here, or has too few words, has no reference that could judge.
+    judged = lang is None or refs.total.get(lang, 0) >= rules.min_reference_words
     key = refs.of(lang)
     by_class = by_common = None
-    if len(text) >= rules.min_class_chars:
+    if judged and len(text) >= rules.min_class_chars:
         by_class = distance(class_counts(text).astype(float), refs.classes[key])
     common = refs.common[key]
-    if n >= rules.min_common_words and common:
+    if judged and n >= rules.min_common_words and common:
         times = Counter(words)
         own = np.array([times.get(w, 0) for w in common], float)
         ref = np.fromiter(common.values(), float, len(common))
@@ -228,16 +246,31 @@ def assess(
 
     A text fails the base rules with too few words or too many words in repeated windows. It is also dropped if its
     histogram of character classes or of common words is too far from its language's reference; texts shorter than
-    the guards are not judged by that histogram (distance null). Languages that are null or too rare are judged by
-    all languages together. ``refs`` are counted over ``df`` unless given. Null is the empty text: no words, failed.
+    the guards are not judged by that histogram (distance null). Rows without a language are judged by all languages
+    together; languages of fewer than min_reference_words are judged by neither histogram. ``refs`` are counted over
+    ``df`` unless given. Null is the empty text: no words, failed.
+
+    Languages whose references are not sent to every task have them joined to their rows; the planner broadcasts the
+    written table if it is small enough.
     """
     rules = rules or Rules()
     refs = refs or references(df, text, lang, rules)
-    code = free_names(df, "lang_code")[0]
+    code, own, of = free_names(df, "lang_code", "reference", "reference_lang")
+    sent = References(refs.classes, refs.common, refs.total)
+
+    def judged(t, k, row):
+        if row is None:
+            return judge(t, k, sent, rules)
+        classes = np.zeros(len(CLASSES))
+        for x in row["classes"]:
+            classes[x["class"]] = x["n"]
+        common = {x["word"]: x["share"] for x in row["common"] or []}
+        return judge(t, k, References({k: classes, None: classes}, {k: common, None: common}, {k: row["total"]}), rules)
 
     def make():
-        def run(texts, langs):
-            columns = zip(*[judge(t, k, refs, rules) for t, k in zip(texts, langs, strict=True)], strict=True)
+        def run(texts, langs, rows=None):
+            rows = rows or [None] * len(texts)
+            columns = zip(*[judged(t, k, x) for t, k, x in zip(texts, langs, rows, strict=True)], strict=True)
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2 + [pa.bool_()]
             return pa.StructArray.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=QUALITY.fieldNames()
@@ -246,4 +279,13 @@ def assess(
         return run
 
     kept = [c for c in (df.columns if keep is None else keep) if c != into]
-    return map_rows(df.withColumn(code, named(lang).cast("string")), [text, code], into, QUALITY, make, kept)
+    rows = df.withColumn(code, named(lang).cast("string"))
+    if refs.rare is None:
+        return map_rows(rows, [text, code], into, QUALITY, make, kept)
+    # Rows of the languages above meet no join.
+    has = F.coalesce(F.col(code).isin([k for k in sent.classes if k is not None]), F.lit(True))
+    table = refs.rare.select(F.col("lang").alias(of), F.struct("total", "classes", "common").alias(own))
+    joined = rows.where(~has).join(table, F.col(code) == F.col(of), "left").drop(of)
+    return map_rows(rows.where(has), [text, code], into, QUALITY, make, kept).unionByName(
+        map_rows(joined, [text, code, own], into, QUALITY, make, kept)
+    )

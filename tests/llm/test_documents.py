@@ -114,6 +114,25 @@ def test_query_and_verdicts(spark):
     assert np.mean(good) > 0.99 and np.mean(junk) < 0.1
 
 
+def test_rare_languages_are_judged_by_themselves(spark):
+    """Verdicts on a rare language don't change when another language grows, and its junk still fails."""
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπθρστυωςχυζ")
+    rows = [(i, prose(i, 400).translate(greek), "el") for i in range(30)] + [(50, " ".join(f"{i}#{i}" for i in range(300)), "el")]
+    rows += [(i, prose(i, 400), "en") for i in range(100, 130)] + [(i, prose(i, 120).translate(greek), "xx") for i in range(200, 203)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    more = spark.range(1000, 1400).select("id", F.lit(prose(9, 40_000)), F.lit("en"))
+    small, large = (
+        {r["doc_id"]: tuple(r["quality"]) for r in quality.assess(d, "text", "lang").where("doc_id < 1000").collect()}
+        for d in (docs, docs.union(more))
+    )
+    assert quality.references(docs.union(more), "text", "lang", quality.Rules()).of("el") is None
+    assert len(small) == len(large) == len(rows)
+    for k, _, lang in rows:
+        if lang != "en":
+            assert small[k] == pytest.approx(large[k]) and large[k][-1] == (k != 50), k
+    assert all(large[k][6:8] == (None, None) for k in range(200, 203)) and large[0][7] is not None
+
+
 def test_quality_hard_rows(spark):
     docs = hard_docs(spark)
     out = quality.assess(docs, "text", "lang")
