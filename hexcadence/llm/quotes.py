@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from hexcadence.llm.base import free_names, map_rows, named, stored
 from hexcadence.llm.sharding import numbered
 
-MIN_WORDS = 3  #: shorter passages are too common to tell who is quoted
+MIN_WORDS = 3  #: shorter passages of scripts with blanks are not linked
+
+#: Letters of scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"\s*(?:On\b.*\bwrote:|.*\b(?:wrote|schrieb|escribió|a écrit) ?:)\s*")
@@ -37,9 +40,17 @@ def normal(passage: str) -> str:
 
 
 def _units(passage: str) -> set[str]:
-    """A passage as a whole, its paragraphs and its lines, normalised; those long enough to be told apart."""
+    """A passage as a whole, its paragraphs and its lines, normalised; those of MIN_WORDS words, or with a letter
+    of a script without blanks."""
     found = {normal(passage)} | {normal(p) for p in re.split(r"\n[ \t]*\n", passage)} | {normal(x) for x in passage.split("\n")}
-    return {u for u in found if u.count(" ") >= MIN_WORDS - 1}
+    return {u for u in found if u.count(" ") >= MIN_WORDS - 1 or _UNSPACED.search(u)}
+
+
+def weight(unit: str) -> int:
+    """Words of a normalised passage; in scripts without blanks each letter is one."""
+    if not _UNSPACED.search(unit):
+        return unit.count(" ") + 1
+    return sum(max(1, len(_UNSPACED.findall(w))) for w in unit.split(" "))
 
 
 def parse(text: str | None) -> tuple[str, int, list[tuple[int, str]]]:
@@ -86,7 +97,7 @@ def _parse_rows():
     def run(texts):
         parsed = [parse(t) for t in texts]
         units = [
-            [{"level": d, "hash": signed(u), "words": u.count(" ") + 1} for d, u in sorted(set(p[2]))] for p in parsed
+            [{"level": d, "hash": signed(u), "words": weight(u)} for d, u in sorted(set(p[2]))] for p in parsed
         ]
         return pa.StructArray.from_arrays(
             [pa.array([p[0] for p in parsed], pa.string()), pa.array([p[1] for p in parsed], pa.int64()), pa.array(units, pa.list_(unit))],
@@ -101,10 +112,10 @@ def linked(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
     * Lines are told apart by their level of ``>`` marks. A message's body keeps the unquoted ones, without lines that
       announce a quote. Null texts have an empty body.
-    * Passages (as a whole, by paragraph, by line, if they have MIN_WORDS words) are normalised and hashed. A
-      passage's original is the first message of the conversation that has it unquoted.
-    * ``reply_to`` is the earlier turn whose passages a message quotes at level 1 with the most words (the later turn
-      on a tie); null if it quotes none. Deeper levels are what others had quoted, and don't decide.
+    * Passages (as a whole, by paragraph, by line) are normalised and hashed, those of scripts with blanks if they have
+      MIN_WORDS words. A passage's original is the first message of the conversation that has it unquoted.
+    * ``reply_to`` is the earlier turn whose passages a message quotes at level 1 with the most words, or letters
+      of scripts without blanks (the later turn on a tie); null if it quotes none. Deeper levels are what others had quoted, and don't decide.
     * ``position`` counts from 0 through the conversation, by the turn replied to (without a quote: the turn before),
       then the own turn; so a message comes after the one it answers, and answers to one message stand together.
 

@@ -203,6 +203,18 @@ def test_links_equal_brute_force(spark):
     assert by[None, 2] == 0 and by[3, None] == 4
 
 
+def test_scripts_without_blanks_are_linked(spark):
+    said = ["今日はとても良い天気ですね", "我们明天去公园吧", "สวัสดีครับ", "好", "plain words of four", "嗯"]
+    rows = [(1, i, "user", t) for i, t in enumerate(said)]
+    rows += [(1, 10 + i, "user", f"> {t}\n{i} yes") for i, t in enumerate(said)]
+    # Eight letters weigh more than four words.
+    rows += [(1, 20, "user", "> 我们明天去公园吧\n\n> plain words of four\nboth")]
+    got = quotes.linked(spark.createDataFrame(rows, CHAT), "conv_id", "turn", "text").collect()
+    by = {r["turn"]: r["reply_to"] for r in got}
+    assert [by[10 + i] for i in range(len(said))] == list(range(len(said))) and by[20] == 1
+    assert [quotes.weight(u) for u in ("one two three", "我们", "abc 我们 def", "ok")] == [3, 2, 4, 1]
+
+
 def test_a_reply_follows_what_it_answers(spark):
     r = random.Random(1)
     words = [f"w{i}" for i in range(300)]
