@@ -182,15 +182,17 @@ def near_edges(fps: DataFrame, fp: str, distance: int = 4, n_blocks: int = 3, ch
         lambda h: F.struct(h.alias("h"), F.pmod(place, nv).cast("int").alias("v"), F.lit(False).alias("as_home")),
     )
     squares = dealt.select(
-        "block", "anchor", fp, F.explode(F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)).alias("to")
+        "block", "anchor", fp, F.col("nv").isNotNull().alias("dealt"), F.explode(F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)).alias("to")
     )
     met = (
         squares.groupBy("block", "anchor", "to.h", "to.v")
         .agg(
             F.collect_list(F.when(F.col("to.as_home"), F.col(fp))).alias("homes"),
             F.collect_list(F.when(~F.col("to.as_home"), F.col(fp))).alias("visitors"),
+            F.max("dealt").alias("dealt"),
         )
-        .where((F.size("homes") > 0) & (F.size("visitors") > 1))
+        # The only visitor of an anchor is its home; the only one of a square may be another fingerprint.
+        .where((F.size("homes") > 0) & ((F.size("visitors") > 1) | F.col("dealt")))
     )
     return met.select("homes", "visitors").mapInArrow(_compare(distance), "node bigint, root bigint")
 

@@ -92,6 +92,16 @@ def test_all_near_fingerprints_are_connected(spark, distance, n_blocks, chunk):
     assert components(len(fps), [(place[e["node"]], place[e["root"]]) for e in edges]) == want
 
 
+def test_squares_with_one_visitor_are_compared(spark):
+    """Pairs far from each other, one link each: every square of a dealt anchor counts."""
+    r = random.Random(12)
+    fps = [x for _ in range(60) for a in [r.getrandbits(64)] for x in (a, a ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))))]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    edges = {frozenset(e) for e in simhash.near_edges(df, "fp", chunk=1).collect()}
+    assert edges == {frozenset(signed[i : i + 2]) for i in range(0, 120, 2)}
+
+
 def test_simhash_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     fps = [plain_fingerprint(d["text"]) for d in docs]
