@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from hashlib import md5
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 _SPACES = " \t\n\v\f\r"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(r"[0-9@]")
 #: The rest of a word, and what follows it over single blanks if that is digits.
 _REST = re.compile(r"[^\x20\x09-\x0D]*(?:\x20[(0-9][0-9().-]*(?=[\x20\x09-\x0D.,;]|$))*")
@@ -117,6 +121,11 @@ def fits(value: str) -> list[int]:
     return out
 
 
+def _named(word: str) -> str:
+    """A word as it stands in patterns: long ones by their digest, as they may precede many identifiers."""
+    return word if len(word) <= 120 else "#" + md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def occurrences(text: str) -> list[tuple[int, int, int, str, bool, str, str]]:
     """(kind, start, end, value, seed, one word before, two words before) of entities and possible identifiers."""
     seeds = base_spans(text)
@@ -134,13 +143,14 @@ def occurrences(text: str) -> list[tuple[int, int, int, str, bool, str, str]]:
                 continue
             found += [(k, a, b, False) for k in fits(text[a:b])]
     out = []
+    words = [m.span() for m in _WORD.finditer(text)] if found else []
+    starts = [x for x, _ in words]
     for k, a, b, seed in found:
-        before = words_of(text[max(0, a - 120) : a])
-        if before and a and text[a - 1] not in " \t\n\v\f\r":
-            before.pop()  # the start of the identifier's own word
-        if a > 120 and len(before) < 3:
-            continue  # the words before are too long to be a context
-        one, two = (before[-1] if before else ""), " ".join(before[-2:]) if len(before) > 1 else ""
+        i = bisect_left(starts, a)
+        if a and text[a - 1] not in _SPACES:
+            i -= 1  # the start of the identifier's own word
+        one = _named(text[slice(*words[i - 1])]) if i else ""
+        two = f"{_named(text[slice(*words[i - 2])])} {one}" if i > 1 else ""
         out.append((k, a, b, re.sub(r"[\s().-]", "", text[a:b]).lower(), seed, one, two))
     return out
 
@@ -160,7 +170,7 @@ _FOUND = T.ArrayType(
 class Bootstrap:
     """Limits of the bootstrap."""
 
-    rounds: int = 3  #: times that scores go from instances to patterns and back
+    rounds: int | None = None  #: times that scores go from instances to patterns and back; None: until they settle
     min_values: int = 3  #: different values that a context must precede to be a pattern
     min_confidence: float = 0.5  #: of a pattern, to score instances
     min_score: float = 0.6  #: of an instance, to be reported
@@ -233,6 +243,8 @@ def _count_contexts(bits: np.ndarray, held: int = 100_000):
                 words = words_of(text.as_py() or "")[:-1] if text.is_valid else []
                 if not words:
                     continue
+                if max(map(len, words)) > 120:
+                    words = list(map(_named, words))
                 h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
                 total.update([words[i] for i in passing(h)])
                 total.update([f"{words[i]} {words[i + 1]}" for i in passing(_pair_hashes(h))])
@@ -294,8 +306,8 @@ def discover(df: DataFrame, text: str, limits: Bootstrap | None = None) -> DataF
     ) if bits.any() else spark.createDataFrame([], "pattern string, total bigint")
     graph = stored(edges.join(totals, "pattern"), "graph")
     scores = graph.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
-    confident = None
-    for _ in range(limits.rounds):
+    confident = before = None
+    for _ in islice(count(), limits.rounds):
         confident = (
             graph.join(scores, ["kind", "value"])
             .groupBy("pattern", "kind")
@@ -313,6 +325,11 @@ def discover(df: DataFrame, text: str, limits: Bootstrap | None = None) -> DataF
             ),
             "scores",
         )
+        # Scores only rise, and patterns pass the limit by them.
+        total = scores.agg(F.sum("score")).first()[0] or 0.0
+        if limits.rounds is None and before is not None and total - before < 1e-6:
+            break
+        before = total
     hits = (
         seen.where("NOT seed")
         .join(confident.select("pattern", "kind"), ["pattern", "kind"], "left_semi")

@@ -235,6 +235,22 @@ def test_context_counts_equal_brute_force(spark, full):
     assert got == want if full else {p: got[p] for p in patterns} == {p: want[p] for p in patterns}
 
 
+def test_contexts_behind_long_words_and_gaps():
+    for gap in ("https://" + "x" * 115 + " email: ", "two" + " " * 200 + "email: ", "z" * 500 + " email:" + "\t" * 130):
+        (found,) = pii.occurrences(gap + "root@localhost")
+        assert found[5] == "email:" and found[6].endswith(" email:") and len(found[6]) <= 130
+
+
+def test_rounds_go_on_until_scores_settle(spark):
+    rows = [f"{prose(i, 4)} please write to user{i}@mail.example.com" for i in range(9)]
+    rows += [f"{prose(i, 4)} please write to v0n{i}@intra" for i in range(3)]
+    for k in range(5):
+        rows += [f"{prose(i, 4)} via{k} dept{k} v{k}n{i}@intra {prose(i, 2)}" for i in range(3)] * 3
+        rows += [f"{prose(i, 4)} via{k} dept{k} v{k + 1}n{i}@intra {prose(i, 2)}" for i in range(3)]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    assert all(r["pii"]["spans"] for r in pii.find(docs, "text").collect())
+
+
 def test_redact():
     assert pii.redact("a b@c.de f", [(0, 2, 8)]) == "a [EMAIL] f"
     assert pii.redact("0123456789", [(2, 0, 6), (3, 4, 8), (1, 0, 3)]) == "[CARD]89"
