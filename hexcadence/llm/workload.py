@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, covertree, mixing, pii, quality, quotes, sharding, simhash, tokencounts, warc
+from hexcadence.llm import bpe, covertree, mixing, pii, quality, quotes, shallot, sharding, simhash, tokencounts, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 from hexcadence.session import scratch_path
 
@@ -197,3 +197,11 @@ def op9_token_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_components(table(spark, sf_dir, "documents"), "doc_id", "text")
     return near.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op11_shallot")
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.cluster(
+        table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, scale=1024, k=8, rounds=10, prefix="3:"
+    )
+    return found.withColumnRenamed("id", "vec_id")
