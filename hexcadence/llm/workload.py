@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, covertree, mixing, pii, quality, quotes, shallot, sharding, simhash, tokencounts, warc
+from hexcadence.llm import bpe, covertree, hardneg, mixing, pii, quality, quotes, shallot, sharding, simhash, tokencounts, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 from hexcadence.session import scratch_path
 
@@ -205,3 +205,40 @@ def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, scale=1024, k=8, rounds=10, prefix="3:"
     )
     return found.withColumnRenamed("id", "vec_id")
+
+
+# DuckDB's lists of BIGINT have no exact product: components are below 2^53, sums of 64 products too.
+OP12_SQL = r"""
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS r
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.r AS anchor, b.vec_id AS id, b.r, a.label = b.label AS alike,
+        CAST(CASE WHEN len(a.v) = 0 THEN 0 ELSE list_dot_product(a.v, b.v) END AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.r != b.r AND len(a.v) = len(b.v)
+),
+positives AS (
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM scored WHERE alike
+    ) WHERE place <= 5
+),
+negatives AS (
+    SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.id) AS rank
+    FROM positives p JOIN scored n
+        ON n.anchor = p.anchor AND NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hardneg.mine(vectors, "vec_id", "label", "embedding", F.col("vec_id") % 100 == 0)
