@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcadence.llm import bpe, covertree, hardneg, mixing, pii, quality, quotes, shallot, sharding, simhash, tokencounts, warc
+from hexcadence.llm import bpe, covertree, hardneg, mixing, pii, prefixhash, quality, quotes, shallot, sharding, simhash, tokencounts, warc
 from hexcadence.llm.base import ORACLES, QUERIES, query, table
 from hexcadence.session import scratch_path
 
@@ -242,3 +242,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return hardneg.mine(vectors, "vec_id", "label", "embedding", F.col("vec_id") % 100 == 0)
+
+
+@query("op13_prefix_fingerprints")
+def op13_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.compared(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
