@@ -13,6 +13,7 @@ MODULES = (
     "flags_graph",
     "model_evaluation",
     "models",
+    "boosted",
     "end_to_end",
 )
 
