@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from hexcadence.operators import boosting, splits
+from hexcadence.operators import boosting, splits, tuning
 from hexcadence.operators.boosting import BINS, PRESETS, SEED, UNIT, Preset
+from hexcadence.operators.tuning import rungs
 from hexcadence.plans import forecast
 from hexcadence.workload.base import PLACED_ORDERS, placed_orders, query, sql_bin
 from hexcadence.workload.cleaning import hash_sql
@@ -38,17 +41,17 @@ ROWS_SQL = f"""
 """
 
 
-def _tree_sql(model: str, p: Preset, t: int) -> tuple[list[str], str]:
-    """Statements that grow tree ``t``: the last ones give its splits and its leaves, and the scores after it."""
-    name = f"{model}_{t}"
+def _tree_sql(tag: str, model: str, p: Preset, t: int) -> tuple[list[str], str]:
+    """Statements that grow tree ``t`` on the fitted rows of ``tag``_rows, its table of nodes, and scores of all rows."""
+    name, numbered = f"{tag}_{model}_{t}", f"{tag}_rows"
     usable = boosting.tree_features(len(FEATURES), p.columns, t)
     l2, unit = p.l2 * UNIT, float(UNIT)
     score = lambda g, h: f"CASE WHEN {h} + {l2!r} > 0 THEN CAST({g} AS DOUBLE) * {g} / ({h} + {l2!r}) ELSE 0 END"
     drawn = "true" if p.rows >= 1 else f"{hash_sql('c_nationkey', 'time_bin', seed=SEED + t)} / {float(1 << 60)!r} < {p.rows!r}"
-    before = f"{model}_{t - 1}_scored" if t else "(SELECT id, 0e0 AS score FROM numbered)"
+    before = f"{tag}_{model}_{t - 1}_scored" if t else f"(SELECT id, 0e0 AS score FROM {numbered})"
     out = [
         f"{name}_gh AS MATERIALIZED (SELECT id, bins, floor((c - label) * {unit!r} + 0.5)::BIGINT AS g, floor(c * (1 - c) * {unit!r} + 0.5)::BIGINT AS h, "
-        f"{drawn} AS seen FROM (SELECT *, 1 / (1 + exp(-score)) AS c FROM numbered JOIN {before} AS s USING (id)) AS x)",
+        f"fitted AND {drawn} AS seen FROM (SELECT *, 1 / (1 + exp(-score)) AS c FROM {numbered} JOIN {before} AS s USING (id)) AS x)",
         f"{name}_at0 AS MATERIALIZED (SELECT id, 1::BIGINT AS node FROM {name}_gh)",
     ]
     steps = p.leaves - 1 if p.growth == "leaf" else p.depth
@@ -81,7 +84,7 @@ def _tree_sql(model: str, p: Preset, t: int) -> tuple[list[str], str]:
             )
         out.append(
             f"{name}_at{k + 1} AS MATERIALIZED (SELECT id, CASE WHEN b.f IS NULL THEN a.node WHEN r.bins[b.f + 1] <= b.cut THEN 2 * a.node ELSE 2 * a.node + 1 END AS node "
-            f"FROM {name}_at{k} a JOIN numbered r USING (id) LEFT JOIN {name}_best{k} b ON a.node = b.node)"
+            f"FROM {name}_at{k} a JOIN {numbered} r USING (id) LEFT JOIN {name}_best{k} b ON a.node = b.node)"
         )
     leaf = f"CASE WHEN sum(h) FILTER (seen) + {l2!r} > 0 THEN {-p.learning_rate!r} * (sum(g) FILTER (seen))::BIGINT / ((sum(h) FILTER (seen))::BIGINT + {l2!r}) ELSE 0 END"
     out.append(
@@ -98,21 +101,30 @@ def _tree_sql(model: str, p: Preset, t: int) -> tuple[list[str], str]:
     return out, rows
 
 
-def trees_sql(presets: dict[str, Preset], rounds: int) -> str:
+def fit_sql(tag: str, presets: dict[str, Preset], rounds: int, rows: str, fitted: str) -> tuple[list[str], list[str]]:
+    """Statements that bin and fit the rows of a query for which ``fitted`` holds, and each tree's table of nodes.
+
+    ``{tag}_{model}_{rounds - 1}_scored`` then has the scores of all rows, by the id of ``{tag}_rows``.
+    """
     items = ", ".join(f"quantile_cont(CAST({f} AS DOUBLE), {[i / BINS for i in range(1, BINS)]}) AS q_{f}" for f in FEATURES)
     bins = ", ".join(f"1 + len(list_filter(q_{f}, lambda c: {f} > c))" for f in FEATURES)
     statements = [
-        ROWS_SQL,
-        f"cuts AS MATERIALIZED (SELECT {items} FROM split_rows WHERE split = 'train')",
-        f"numbered AS MATERIALIZED (SELECT row_number() OVER () AS id, c_nationkey, time_bin, label, [{bins}] AS bins FROM split_rows CROSS JOIN cuts WHERE split = 'train')",
+        f"{tag}_cuts AS MATERIALIZED (SELECT {items} FROM ({rows}) AS r WHERE {fitted})",
+        f"{tag}_rows AS MATERIALIZED (SELECT row_number() OVER () AS id, r.* EXCLUDE ({', '.join(FEATURES)}), {fitted} AS fitted, [{bins}] AS bins "
+        f"FROM ({rows}) AS r CROSS JOIN {tag}_cuts)",
     ]
-    results = []
+    nodes = []
     for model, p in presets.items():
         for t in range(rounds):
-            grown, rows = _tree_sql(model, p, t)
+            grown, table = _tree_sql(tag, model, p, t)
             statements += grown
-            results.append(rows)
-    return f"WITH {', '.join(statements)} " + " UNION ALL ".join(results)
+            nodes.append(table)
+    return statements, nodes
+
+
+def trees_sql(presets: dict[str, Preset], rounds: int) -> str:
+    statements, nodes = fit_sql("all", presets, rounds, "SELECT * FROM split_rows WHERE split = 'train'", "true")
+    return f"WITH {ROWS_SQL}, {', '.join(statements)} " + " UNION ALL ".join(nodes)
 
 
 @query(
@@ -126,3 +138,98 @@ def boosted_variants(spark, d):
     data = boosting.binned(train, boosting.bin_cuts(train, FEATURES))
     models = boosting.fit(data, ["c_nationkey", "time_bin"], "label", PRESETS, FEATURES, rounds=ROUNDS)
     return boosting.tree_table(models, spark).where("n > 0")
+
+
+# --- out-of-fold predictions ------------------------------------------------------------------------
+
+N_FOLDS = 3
+BASE_MODELS = {m: replace(PRESETS[m], depth=3, learning_rate=0.3) for m in ("regularised", "symmetric")}
+
+
+def cross_fit_sql() -> str:
+    statements, parts = [], []
+    folded = f"SELECT *, {hash_sql('c_nationkey', 'time_bin')} % {N_FOLDS} AS fold FROM split_rows WHERE split = 'train'"
+    for fold in range(N_FOLDS):
+        tag = f"fold{fold}"
+        grown, _ = fit_sql(tag, BASE_MODELS, ROUNDS, folded, f"fold != {fold}")
+        statements += grown
+        for model in BASE_MODELS:
+            parts.append(
+                f"SELECT c_nationkey, time_bin, fold, label, '{model}' AS model, 1 / (1 + exp(-score)) AS y_proba, "
+                f"(SELECT count(*) FROM {tag}_rows WHERE fitted) AS n_fitted, (SELECT count(*) FROM {tag}_rows WHERE fitted AND fold = {fold}) AS n_own_fold "
+                f"FROM {tag}_rows JOIN {tag}_{model}_{ROUNDS - 1}_scored USING (id) WHERE fold = {fold}"
+            )
+    return f"WITH {ROWS_SQL}, {', '.join(statements)} " + " UNION ALL ".join(parts)
+
+
+def out_of_fold(spark, d):
+    train = boosting_rows(spark, d).where("split = 'train'")
+    folded = train.withColumn("fold", tuning.row_folds(["c_nationkey", "time_bin"], N_FOLDS))
+    return tuning.cross_fit(folded, ["c_nationkey", "time_bin"], "label", FEATURES, "fold", N_FOLDS, BASE_MODELS, rounds=ROUNDS)
+
+
+@query(
+    "cross_fitted_models",
+    "c_nationkey:i time_bin:t fold:i label:i model:s y_proba:d n_fitted:i n_own_fold:i",
+    cross_fit_sql(),
+)
+def cross_fitted_models(spark, d):
+    """Training rows, each predicted by models that were fitted without its fold."""
+    return out_of_fold(spark, d)
+
+
+# --- hyper-parameters ---------------------------------------------------------------------------------
+
+CONFIGS = {
+    f"depth{depth}_l2_{l2:g}": replace(PRESETS["regularised"], depth=depth, l2=l2, learning_rate=0.3, rows=1.0)
+    for depth in (1, 2, 3)
+    for l2 in (1.0, 50.0)
+}
+SPLITS, GAP = 3, 2
+
+
+def halving_sql() -> str:
+    statements, metrics = [], []
+    statements.append(
+        "roles AS (SELECT time_bin, i, n - (4 - fold) * (n // 4) AS s, n // 4 AS z, fold FROM (SELECT time_bin, row_number() OVER (ORDER BY time_bin) - 1 AS i, count(*) OVER () AS n "
+        "FROM (SELECT DISTINCT time_bin FROM split_rows WHERE split = 'train') AS b) AS c CROSS JOIN (SELECT unnest(range(1, 4)) AS fold) AS f)"
+    )
+    for fold in range(1, SPLITS + 1):
+        rows = (
+            f"SELECT t.*, CASE WHEN i < s - {GAP} THEN 'train' ELSE 'test' END AS role FROM split_rows t JOIN roles r USING (time_bin) "
+            f"WHERE split = 'train' AND r.fold = {fold} AND (i < s - {GAP} OR (i >= s AND i < s + z))"
+        )
+        grown, _ = fit_sql(f"k{fold}", CONFIGS, ROUNDS, rows, "role = 'train'")
+        statements += grown
+        for place, config in enumerate(CONFIGS):
+            metrics.append(
+                f"SELECT {fold} AS fold, '{config}' AS config, {place} AS place, count(*) FILTER (label = 1 AND score >= 0) AS tp, count(*) FILTER (label = 0 AND score >= 0) AS fp, "
+                f"count(*) FILTER (label = 1 AND score < 0) AS fn, count(*) FILTER (label = 0 AND score < 0) AS tn "
+                f"FROM k{fold}_rows JOIN k{fold}_{config.replace('.', '_')}_{ROUNDS - 1}_scored USING (id) WHERE NOT fitted"
+            )
+    statements.append(
+        "measured AS MATERIALIZED (SELECT *, coalesce(5 * tp / nullif(CAST(5 * tp + 4 * fn + fp AS DOUBLE), 0), 0) AS f2 FROM (" + " UNION ALL ".join(metrics) + ") AS m)"
+    )
+    alive, results = "(SELECT config FROM measured)", []
+    for r, (folds, n_configs, keep) in enumerate(rungs(len(CONFIGS), SPLITS)):
+        statements.append(
+            f"rung{r} AS MATERIALIZED (SELECT config, place, mean_f2, row_number() OVER (ORDER BY floor(mean_f2 * 1e9 + 0.5) DESC, place) AS rank, "
+            f"row_number() OVER (ORDER BY floor(mean_f2 * 1e9 + 0.5) DESC, place) <= {keep} AS kept FROM ("
+            f"SELECT config, place, avg(f2) AS mean_f2 FROM measured WHERE fold <= {max(folds)} AND config IN {alive} GROUP BY 1, 2) AS x)"
+        )
+        results.append(
+            f"SELECT {r} AS rung, m.fold, m.config, tp, fp, fn, tn, f2, mean_f2, rank, kept FROM measured m JOIN rung{r} USING (config) WHERE m.fold IN ({', '.join(map(str, folds))})"
+        )
+        alive = f"(SELECT config FROM rung{r} WHERE kept)"
+    return f"WITH {ROWS_SQL}, {', '.join(statements)} " + " UNION ALL ".join(results)
+
+
+@query(
+    "halving_ranks",
+    "rung:i fold:i config:s tp:i fp:i fn:i tn:i f2:d mean_f2:d rank:i kept:b",
+    halving_sql(),
+)
+def halving_ranks(spark, d):
+    """Parameter sets ranked by successive halving over expanding folds, losers included."""
+    train = boosting_rows(spark, d).where("split = 'train'")
+    return tuning.halving(train, "time_bin", ["c_nationkey", "time_bin"], "label", FEATURES, CONFIGS, SPLITS, gap=GAP, rounds=ROUNDS)
