@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexcadence.functions.permute import permuted
 from hexcadence.functions.ranks import dense_index
-from hexcadence.functions.stats import stable_hash
 from hexcadence.operators import clean, evaluation, splits
 from hexcadence.operators.windows import average_rank
 from hexcadence.session import materialise
@@ -190,57 +190,57 @@ def importance_table(model: PipelineModel, features: Sequence[str], spark) -> Da
     return average_rank(df, "importance").orderBy(F.desc("importance"), "feature")
 
 
+def permuted_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], repeats: int, seed: int = SEED) -> DataFrame:
+    """Every row with the ``columns`` of the row that each repeat's permutation sends to its place.
+
+    Rows are numbered once in the order of ``keys`` (which must be unique); value i of repeat r moves to the place that a
+    keyed formula gives, so all repeats share that numbering and one shuffle by place. Adds ``moved``, an array of
+    (repeat, number, values): ``number`` is the source row's, ``values`` a struct of its columns.
+    """
+    kept = [c for c in df.columns]
+    numbered = materialise(dense_index(df, list(keys), "_i"))
+    n = numbered.count()
+    values = F.struct(*[F.col(c) for c in columns])
+    own = F.struct(F.lit(-1).alias("repeat"), F.col("_i").alias("at"))
+    sent = [F.struct(F.lit(r).alias("repeat"), permuted(F.col("_i"), n, seed + r).alias("at")) for r in range(repeats)]
+    copies = numbered.select("_i", F.struct(*kept).alias("_row"), values.alias("_values"), F.explode(F.array(own, *sent)).alias("_to")).select(
+        F.col("_to.at").alias("_at"), F.when(F.col("_to.repeat") < 0, F.col("_row")).alias("_row"),
+        F.when(F.col("_to.repeat") >= 0, F.struct(F.col("_to.repeat").alias("repeat"), F.col("_i").alias("number"), F.col("_values").alias("values"))).alias("_moved"),
+    )
+    # A place has one row and one entry for each repeat.
+    placed = copies.groupBy("_at").agg(F.max("_row").alias("_row"), F.collect_list("_moved").alias("moved"))
+    return placed.select("_row.*", F.array_sort("moved").alias("moved"))
+
+
 def permutation_importance(
     model: PipelineModel,
     df: DataFrame,
     features: Sequence[str],
     label: str,
-    key: str,
+    keys: Sequence[str],
     repeats: int = 5,
     seed: int = SEED,
 ) -> DataFrame:
     """Loss of accuracy when one feature is permuted, mean and deviation over the repeats.
 
-    Row numbers in key order are joined to row numbers in hash order, so the permutation is exact
-    and distributed; all features of a repeat are scored in one pass.
+    The permutations are exact and by formula (``permuted_rows``); all features of all repeats are scored in one pass.
     """
     features = list(features)
-    base = dense_index(df.select(key, label, *features), [key], "_i")
-    scored = predict(model, base, label)
     right = F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))
-    base_score = scored.agg(right.alias("s")).select("s").scalar()
+    base_score = predict(model, df, label).agg(right.alias("s")).select("s").scalar()
     assembler_free = PipelineModel(stages=model.stages[1:])
-    parts = []
-    for r in range(repeats):
-        order = stable_hash(key, seed=seed + r)
-        moved = dense_index(
-            df.select(order.alias("_h"), key, *[F.col(f).alias(f"p_{f}") for f in features]), ["_h", key], "_i"
-        ).drop("_h", key)
-        joined = base.join(moved, "_i")
-        variants = F.array(
-            *[
-                F.named_struct(
-                    F.lit("feature"),
-                    F.lit(f),
-                    F.lit("x"),
-                    F.array(*[F.col(f"p_{g}" if g == f else g).cast("double") for g in features]),
-                )
-                for f in features
-            ]
-        )
-        long = joined.select(F.col(label), F.explode(variants).alias("_v")).select(
-            label, "_v.feature", array_to_vector("_v.x").alias("features")
-        )
-        hit = assembler_free.transform(long).groupBy("feature").agg(
-            F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("score")
-        )
-        parts.append(hit.withColumn("repeat", F.lit(r)))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    rows = permuted_rows(df.select(*keys, label, *features), keys, features, repeats, seed).withColumn("_m", F.explode("moved"))
+
+    def exchanged(feature: str):
+        x = F.array(*[(F.col("_m")["values"][g] if g == feature else F.col(g)).cast("double") for g in features])
+        return F.struct(F.lit(feature).alias("feature"), x.alias("x"))
+
+    long = rows.select(label, F.col("_m.repeat").alias("repeat"), F.explode(F.array(*map(exchanged, features))).alias("_v"))
+    scored = assembler_free.transform(long.select(label, "repeat", "_v.feature", array_to_vector("_v.x").alias("features")))
+    hit = scored.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("score"))
     drop = base_score - F.col("score")
     return (
-        union.withColumn("drop", drop)
+        hit.withColumn("drop", drop)
         .groupBy("feature")
         .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
         .orderBy(F.desc("importance_mean"), "feature")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hexcadence.functions.permute import HALF_ROUNDS, round_keys
 from hexcadence.operators import evaluation, modelling, splits
+from hexcadence.operators.modelling import SEED
 from hexcadence.plans import forecast
 from hexcadence.workload.base import placed_orders, query, sql_bin, table
 from hexcadence.workload.cleaning import hash_sql
@@ -167,7 +169,8 @@ def model_data(spark, d, validation=False):
     feats = forecast.feature_table(o, "c_nationkey", "o_orderdate", "weekly", target="n", cyclic=True)
     busy = feats.withColumn("label", (F.col("n") >= F.col("roll_mean_8")).cast("int"))
     keyed = busy.withColumn("row_id", F.xxhash64("c_nationkey", "time_bin"))
-    return modelling.prepare(keyed, FEATURES, "label", "time_bin", clip={"zero_streak_prev": 10}, keys=["row_id"], validation=validation)
+    keys = ["row_id", "c_nationkey"]
+    return modelling.prepare(keyed, FEATURES, "label", "time_bin", clip={"zero_streak_prev": 10}, keys=keys, validation=validation)
 
 
 @query("logistic_forecast", "row_id:i y_true:i y_pred:i y_proba:d")
@@ -196,11 +199,53 @@ def tree_importance(spark, d):
     return modelling.importance_table(model, FEATURES, spark)
 
 
+def _permuted_sql(repeats: int) -> str:
+    """Places by the formula, applied again to those beyond the last row until none is left."""
+    parts = []
+    for r in range(repeats):
+        keys = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT, 'c': {c}::BIGINT}}" for a, b, c in round_keys(SEED + r))
+        parts.append(f"SELECT {r} AS repeat, [{keys}] AS keys")
+    mixed = lambda d, k: f"(({d} * {k}.a + {k}.b) % 2147483647 * (({d} * {k}.a + {k}.b) % 2147483647) + {k}.c) % 2147483647"
+    rounds = ""
+    left, right = "l0", "r0"
+    for i in range(HALF_ROUNDS):
+        if i % 2 == 0:
+            rounds += f", ({left} + {mixed(right, f'keys[{i + 1}]')}) % high AS l{i + 1}"
+            left = f"l{i + 1}"
+        else:
+            rounds += f", ({right} + {mixed(left, f'keys[{i + 1}]')}) % wide AS r{i + 1}"
+            right = f"r{i + 1}"
+    once = lambda source, columns: f"SELECT {columns}, spot // wide AS l0, spot % wide AS r0{rounds}, {left} * wide + {right} AS next FROM {source}"
+    return f"""
+    WITH RECURSIVE numbered AS MATERIALIZED (
+      SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n,
+        CAST(floor(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS wide, (n + wide - 1) // wide AS high FROM orders),
+    seeds AS ({' UNION ALL '.join(parts)}),
+    walk(i, n, wide, high, repeat, keys, spot) AS (
+      SELECT i, n, wide, high, repeat, keys, next FROM ({once('(SELECT *, i AS spot FROM numbered CROSS JOIN seeds) AS s', '*')}) AS x
+      UNION ALL
+      SELECT i, n, wide, high, repeat, keys, next FROM ({once('walk', '*')} WHERE spot >= n) AS y
+    )
+    SELECT t.o_orderkey, m.repeat, s.o_orderkey AS from_orderkey, s.o_totalprice AS moved_price
+    FROM walk m JOIN numbered s ON s.i = m.i JOIN numbered t ON t.i = m.spot WHERE m.spot < m.n
+    """
+
+
+@query("permuted_values", "o_orderkey:i repeat:i from_orderkey:i moved_price:d2", _permuted_sql(2))
+def permuted_values(spark, d):
+    """Prices of all orders, dealt out anew by two keyed permutations."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    rows = modelling.permuted_rows(orders, ["o_orderkey"], ["o_orderkey", "o_totalprice"], repeats=2)
+    return rows.select("o_orderkey", F.explode("moved").alias("m")).select(
+        "o_orderkey", "m.repeat", F.col("m.values.o_orderkey").alias("from_orderkey"), F.col("m.values.o_totalprice").alias("moved_price")
+    )
+
+
 @query("permutation_importance", "feature:s importance_mean:d importance_std:d")
 def permutation_importance(spark, d):
     data = model_data(spark, d)
     model = modelling.fit_logistic(data)
-    return modelling.permutation_importance(model, data.test, FEATURES, "label", "row_id")
+    return modelling.permutation_importance(model, data.test, FEATURES, "label", ["c_nationkey", "time_bin"])
 
 
 @query("stacked_models", "row_id:i y_true:i y_stacked:i")
