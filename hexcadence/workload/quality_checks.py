@@ -408,6 +408,69 @@ def merge_execute_append(spark, d):
     return merging.execute_decision(a, b, merging.merge_decision(a, b, "o_orderkey"))
 
 
+_TABLES_SQL = {
+    "early": ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "SELECT * FROM orders WHERE year(o_orderdate) <= 1997"),
+    "late": ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "SELECT * FROM orders WHERE year(o_orderdate) > 1997"),
+    "scored": (
+        "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority o_score",
+        "SELECT *, o_orderkey % 7 AS o_score FROM orders WHERE year(o_orderdate) <= 1997 AND o_orderkey % 20 != 0",
+    ),
+    "narrow": ("o_orderkey o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders"),
+    "recent": (
+        "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "SELECT * REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey) FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1998",
+    ),
+    "status": ("s_code s_rows", "SELECT o_orderstatus AS s_code, count(*) AS s_rows FROM orders GROUP BY 1"),
+}
+_ALL_PAIRS_SQL = f"""
+  WITH u AS ({" UNION ALL ".join(
+      f"SELECT {i} AS t, '{t}' AS file, '{c}' AS c, CAST({c} AS VARCHAR) AS val, typeof({c}) AS kind FROM ({sql}) AS x"
+      for i, (t, (columns, sql)) in enumerate(_TABLES_SQL.items()) for c in columns.split())}),
+  v AS MATERIALIZED (SELECT t, file, c, val, max(kind) AS kind, count(*) AS n FROM u GROUP BY 1, 2, 3, 4),
+  k AS (SELECT t, file, c, max(kind) AS kind, sum(n) AS n_rows, count(val) AS n_unique, count(*) AS n_keys FROM v GROUP BY 1, 2, 3),
+  files AS (SELECT DISTINCT t, file FROM k),
+  pairs AS (SELECT a.t AS ta, b.t AS tb, a.file AS file_a, b.file AS file_b FROM files a JOIN files b ON a.t < b.t),
+  shared AS (SELECT a.t AS ta, b.t AS tb, a.c, count(*) AS overlap, sum(CASE WHEN a.val IS NOT NULL THEN a.n * b.n ELSE 0 END) AS matches
+    FROM v a JOIN v b ON a.c = b.c AND a.val IS NOT DISTINCT FROM b.val AND a.t < b.t GROUP BY 1, 2, 3),
+  sides AS (SELECT p.*, x.c, max(x.kind) FILTER (x.t = p.ta) AS kind_a, max(x.kind) FILTER (x.t = p.tb) AS kind_b FROM pairs p JOIN k x ON x.t IN (p.ta, p.tb) GROUP BY ALL),
+  shape AS (SELECT ta, tb, file_a, file_b, count(*) FILTER (kind_b IS NULL) AS missing, count(*) FILTER (kind_a IS NULL) AS added, count(*) FILTER (kind_a != kind_b) AS changed FROM sides GROUP BY ALL),
+  alike AS (SELECT *, greatest(0, 1 - CAST(missing + added + changed AS DOUBLE) / (2 * (missing + added) + greatest(1, changed))) AS similarity FROM shape),
+  keys AS (SELECT s.ta, s.tb, s.c, a.n_rows * 1e0 * b.n_rows AS product, coalesce(o.matches, 0) AS matches, a.n_keys / CAST(a.n_rows AS DOUBLE) AS ua, b.n_keys / CAST(b.n_rows AS DOUBLE) AS ub,
+      coalesce(o.overlap, 0) / CAST(a.n_keys AS DOUBLE) AS va, coalesce(o.overlap, 0) / CAST(b.n_keys AS DOUBLE) AS vb, least(ua, ub) AS score,
+      greatest(a.n_unique, b.n_unique) > 10 * least(a.n_unique, b.n_unique) AND least(a.n_unique, b.n_unique) > 0 AS uneven
+    FROM sides s JOIN k a ON a.t = s.ta AND a.c = s.c JOIN k b ON b.t = s.tb AND b.c = s.c LEFT JOIN shared o ON o.ta = s.ta AND o.tb = s.tb AND o.c = s.c WHERE kind_a = kind_b),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ta, tb ORDER BY c = 'o_orderkey' AND score > 0.9e0 DESC, score DESC, c) AS place FROM keys WHERE NOT uneven AND score > 0) AS x WHERE place = 1),
+  judged AS (SELECT a.*, b.*, CASE WHEN c IS NULL THEN 'no valid join key' WHEN missing > 0 THEN 'schema mismatch' WHEN va < 0.01e0 AND vb < 0.01e0 THEN 'datasets disjoint'
+      WHEN va > 0.8e0 AND vb > 0.8e0 AND matches > 5e7 THEN 'join explosion risk' WHEN va > 0.8e0 AND vb > 0.8e0 THEN 'strong overlap' ELSE 'partial overlap' END AS reason
+    FROM alike a LEFT JOIN best b USING (ta, tb))
+  SELECT file_a, file_b, CASE WHEN reason IN ('schema mismatch', 'join explosion risk') THEN 'reject' WHEN reason = 'datasets disjoint' THEN 'append'
+      WHEN reason = 'strong overlap' THEN 'merge' ELSE 'manual_review' END AS strategy, reason, c AS join_key, matches AS join_rows, similarity,
+    0.4e0 * least(ua, ub) + 0.2e0 * similarity + 0.4e0 * least(va, vb) AS confidence_merge, 0.4e0 * least(ua, ub) + 0.2e0 * similarity + 0.4e0 * (1 - least(va, vb)) AS confidence_append
+  FROM judged
+"""
+
+
+@query(
+    "merge_decisions_all_pairs",
+    "file_a:s file_b:s strategy:s reason:s join_key:s join_rows:i similarity:d confidence_merge:d confidence_append:d",
+    _ALL_PAIRS_SQL,
+)
+def merge_decisions_all_pairs(spark, d):
+    """Six tables, fifteen pairs: all strategies, renamed, missing, added and retyped columns."""
+    o, y = table(spark, d, "orders"), F.year("o_orderdate")
+    return merging.merge_decisions(
+        {
+            "early": o.where(y <= 1997),
+            "late": o.where(y > 1997),
+            "scored": o.where((y <= 1997) & (F.col("o_orderkey") % 20 != 0)).withColumn("o_score", F.col("o_orderkey") % 7),
+            "narrow": o.select("o_orderkey", "o_totalprice"),
+            "recent": o.where(y.between(1997, 1998)).withColumn("o_custkey", F.col("o_custkey").cast("string")),
+            "status": o.groupBy(F.col("o_orderstatus").alias("s_code")).agg(F.count(F.lit(1)).alias("s_rows")),
+        },
+        "o_orderkey",
+    )
+
+
 # --- risk ---------------------------------------------------------------------------------------
 
 # One finding per user and week with less than average activity, and per missing order day.
