@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from hexcadence.llm.base import free_names, map_rows, named, stored
 from hexcadence.llm.sharding import numbered
 
-MIN_WORDS = 3  #: shorter passages of scripts with blanks are not linked
-
 #: Letters of scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
@@ -40,10 +38,9 @@ def normal(passage: str) -> str:
 
 
 def _units(passage: str) -> set[str]:
-    """A passage as a whole, its paragraphs and its lines, normalised; those of MIN_WORDS words, or with a letter
-    of a script without blanks."""
+    """A passage as a whole, its paragraphs and its lines, normalised; all that are not empty."""
     found = {normal(passage)} | {normal(p) for p in re.split(r"\n[ \t]*\n", passage)} | {normal(x) for x in passage.split("\n")}
-    return {u for u in found if u.count(" ") >= MIN_WORDS - 1 or _UNSPACED.search(u)}
+    return found - {""}
 
 
 def weight(unit: str) -> int:
@@ -112,8 +109,8 @@ def linked(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
     * Lines are told apart by their level of ``>`` marks. A message's body keeps the unquoted ones, without lines that
       announce a quote. Null texts have an empty body.
-    * Passages (as a whole, by paragraph, by line) are normalised and hashed, those of scripts with blanks if they have
-      MIN_WORDS words. A passage's original is the first message of the conversation that has it unquoted.
+    * Passages (as a whole, by paragraph, by line) are normalised and hashed, however short. A passage's original is the
+      first message of the conversation that has it unquoted.
     * ``reply_to`` is the earlier turn whose passages a message quotes at level 1 with the most words, or letters
       of scripts without blanks (the later turn on a tie); null if it quotes none. Deeper levels are what others had quoted, and don't decide.
     * ``position`` counts from 0 through the conversation, by the turn replied to (without a quote: the turn before),

@@ -199,7 +199,7 @@ def test_links_equal_brute_force(spark):
     got = out.select("conv_id", "turn", "body", "n_quotes", "reply_to", "position").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     by = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got}
-    assert (by[1, 3], by[1, 4], by[1, 5], by[1, 6], by[1, 7], by[2, 0]) == (0, 1, 1, None, None, None)
+    assert (by[1, 3], by[1, 4], by[1, 5], by[1, 6], by[1, 7], by[2, 0]) == (0, 1, 1, None, 4, None)
     assert by[None, 2] == 0 and by[3, None] == 4
 
 
@@ -215,6 +215,13 @@ def test_scripts_without_blanks_are_linked(spark):
     assert [quotes.weight(u) for u in ("one two three", "我们", "abc 我们 def", "ok")] == [3, 2, 4, 1]
 
 
+def test_short_quotes_are_linked(spark):
+    said = [(1, "Shall we go?"), (2, "Yes"), (3, "Maybe later"), (4, "> Yes\nGood."), (5, "> Maybe later\n> Yes\nboth"), (6, "Не придём"), (7, "> Не придём\nWhy?"), (8, "> no\nwho?")]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in said], CHAT)
+    by = {r["turn"]: r["reply_to"] for r in quotes.linked(df, "conv_id", "turn", "text").collect()}
+    assert [by[t] for t, _ in said] == [None, None, None, 2, 3, None, 6, None]
+
+
 def test_a_reply_follows_what_it_answers(spark):
     r = random.Random(1)
     words = [f"w{i}" for i in range(300)]
