@@ -125,10 +125,10 @@ def run_all(tables: dict[str, DataFrame], structure: dict[str, bool]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def recommend(findings: DataFrame) -> DataFrame:
-    """Rows (action, column) answering the flagged findings."""
+def recommend(findings: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (keep, action, column) answering the flagged findings."""
     action = F.create_map(*[F.lit(x) for kv in ACTION_OF_CHECK.items() for x in kv])
-    return findings.where("flagged").select(action[F.col("check")].alias("action"), "column")
+    return findings.where("flagged").select(*keep, action[F.col("check")].alias("action"), "column")
 
 
 def as_plan(actions: DataFrame, params: dict[str, dict] | None = None) -> list[dict]:

@@ -10,6 +10,8 @@ from hexcadence.operators import boosting, splits, tuning
 from hexcadence.operators.boosting import BINS, PRESETS, SEED, UNIT, Preset
 from hexcadence.operators.tuning import rungs
 from hexcadence.plans import forecast
+from hexcadence.session import scratch_path
+from hexcadence.sources import runs
 from hexcadence.workload.base import PLACED_ORDERS, placed_orders, query, sql_bin
 from hexcadence.workload.cleaning import hash_sql
 from hexcadence.workload.time_cube import _dense_sql, features_sql
@@ -233,3 +235,43 @@ def halving_ranks(spark, d):
     """Parameter sets ranked by successive halving over expanding folds, losers included."""
     train = boosting_rows(spark, d).where("split = 'train'")
     return tuning.halving(train, "time_bin", ["c_nationkey", "time_bin"], "label", FEATURES, CONFIGS, SPLITS, gap=GAP, rounds=ROUNDS)
+
+
+# --- run sink -----------------------------------------------------------------------------------------
+
+_PERSISTENCE_SQL = f"""
+  WITH {ROWS_SQL}
+  SELECT c_nationkey, time_bin, label AS y_true, CAST(lag_1 * 8 >= roll_sum_8 AS INTEGER) AS y_pred, CAST(lag_1 * 8 >= roll_sum_8 AS DOUBLE) AS y_proba, split FROM split_rows
+"""
+
+
+def _saved(spark, d) -> str:
+    """Persistence as a run of test and training predictions: one attempt dies before its commit, the run is repeated twice."""
+    last = (F.col("lag_1") * 8 >= F.col("roll_sum_8")).cast("int")
+    rows = boosting_rows(spark, d).select(
+        "c_nationkey", "time_bin", F.col("label").alias("y_true"), last.alias("y_pred"), last.cast("double").alias("y_proba"), "split"
+    )
+    right = rows.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
+    root = scratch_path(spark, "runs")
+    rows.where("split = 'test'").write.parquet(f"{root}/attempts/persistence-killed")
+    for _ in range(2):
+        runs.save_run(rows, root, "persistence", model="persistence", params={"lag": 1}, metrics={"accuracy": right}, features=["lag_1", "roll_sum_8"])
+    return root
+
+
+@query("saved_predictions", "run:s c_nationkey:i time_bin:t y_true:i y_pred:i y_proba:d split:s", f"SELECT 'persistence' AS run, * FROM ({_PERSISTENCE_SQL}) AS p")
+def saved_predictions(spark, d):
+    return runs.read_runs(spark, _saved(spark, d))
+
+
+@query(
+    "saved_run_facts",
+    "run:s model:s n_rows:i lag:s accuracy:d n_features:i",
+    f"""
+    SELECT 'persistence' AS run, 'persistence' AS model, count(*) AS n_rows, '1' AS lag, avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy, 2 AS n_features
+    FROM ({_PERSISTENCE_SQL}) AS p
+    """,
+)
+def saved_run_facts(spark, d):
+    found = runs.runs(spark, _saved(spark, d))
+    return found.select("run", "model", "n_rows", F.col("params")["lag"].alias("lag"), F.col("metrics")["accuracy"].alias("accuracy"), F.size("features").alias("n_features"))

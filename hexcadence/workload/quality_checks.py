@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexcadence.operators import merging, quality, risk
-from hexcadence.plans import audit
+from hexcadence.plans import audit, audit_tables
 from hexcadence.workload.base import BROKEN_EVENTS, broken_events, query, sql_bin, table
 
 # Line items with damage: missing flags, infinite ratios, many zeros.
@@ -610,3 +610,106 @@ def audit_damaged_table(spark, d):
 def recommended_actions(spark, d):
     checks = ["missing", "infinite", "zero_inflation", "cardinality", "duplicates"]
     return audit.recommend(audit.run_checks(damaged(spark, d), checks))
+
+
+# --- several tables at once ----------------------------------------------------------------------------
+
+
+def audited_tables(spark, d):
+    """Events with broken places, orders with text days, gaps and infinities, customers without some keys, and repeated rows."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    return {
+        "events": broken_events(spark, d).select("event_id", "ts", "event_type", "value", "latitude", "longitude"),
+        "orders": o.select(
+            "o_orderkey", F.col("o_custkey").alias("custkey"), F.when(F.dayofmonth("o_orderdate") != 13, F.col("o_orderdate")).alias("day"),
+            F.to_date("o_orderdate").cast("string").alias("day_text"), F.when(key % 10 < 3, F.col("o_totalprice")).alias("price"),
+            F.when(key % 50 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice") * F.col("o_totalprice")).alias("square"),
+            F.when(key % 11 == 0, 1).otherwise(0).alias("flag"),
+        ),
+        "customers": table(spark, d, "customer").where("c_custkey % 10 != 3").select(F.col("c_custkey").alias("custkey"), "c_name"),
+        "lines": table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("day")),
+    }
+
+
+_AUDITED_SQL = {
+    "events": f"SELECT event_id, ts, event_type, value, latitude, longitude FROM ({BROKEN_EVENTS}) AS b",
+    "orders": """SELECT o_orderkey, o_custkey AS custkey, CASE WHEN day(o_orderdate) != 13 THEN o_orderdate END AS day, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day_text,
+        CASE WHEN o_orderkey % 10 < 3 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 50 = 0 THEN CAST('inf' AS DOUBLE) ELSE o_totalprice * o_totalprice END AS square,
+        CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS flag FROM orders""",
+    "customers": "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey % 10 != 3",
+    "lines": "SELECT l_returnflag, l_linestatus, l_quantity AS quantity, l_shipdate AS day FROM lineitem",
+}
+_AUDITED_KINDS = {
+    "events": {"event_id": "number", "ts": "time", "event_type": "text", "value": "float", "latitude": "float", "longitude": "float"},
+    "orders": {"o_orderkey": "number", "custkey": "number", "day": "time", "day_text": "text", "price": "float", "square": "float", "flag": "number"},
+    "customers": {"custkey": "number", "c_name": "text"},
+    "lines": {"l_returnflag": "text", "l_linestatus": "text", "quantity": "float", "day": "time"},
+}
+
+
+def _audited_sql() -> str:
+    heads = ", ".join(f"t_{t} AS MATERIALIZED ({sql})" for t, sql in _AUDITED_SQL.items())
+    rows, spans = [], []
+
+    def add(t, check, column, metric, value, bad, other="NULL", source=None):
+        rows.append(
+            f"SELECT '{t}' AS \"table\", {other} AS other, '{check}' AS \"check\", '{column}' AS \"column\", '{metric}' AS metric, v AS value, coalesce({bad}, false) AS flagged "
+            f"FROM (SELECT CAST({value} AS DOUBLE) AS v FROM {source or f't_{t}'}) AS x"
+        )
+
+    for t, kinds in _AUDITED_KINDS.items():
+        for c, kind in kinds.items():
+            nan = f" OR isnan({c})" if kind == "float" else ""
+            add(t, "missing", c, "missing_ratio", f"count(*) FILTER ({c} IS NULL{nan}) / nullif(CAST(count(*) AS DOUBLE), 0)", "v > 0.5")
+            if kind == "float":
+                add(t, "infinite", c, "inf_count", f"count(*) FILTER (isinf({c}))", "v > 0")
+            if kind in ("float", "number"):
+                add(t, "zero_inflation", c, "zero_ratio", f"count(*) FILTER ({c} = 0) / nullif(CAST(count(*) AS DOUBLE), 0)", "v > 0.8")
+                good = f"FILTER (isfinite(CAST({c} AS DOUBLE)))"
+                add(t, "skewness", c, "skewness", f"skewness({c}) {good}", "abs(v) > 2")
+                add(t, "kurtosis", c, "kurtosis", f"kurtosis({c}) {good}", "v > 10")
+            if kind == "text":
+                formats = "['%Y-%m-%d', '%d.%m.%Y', '%Y/%m/%d', '%d/%m/%Y', '%Y-%m-%d %H:%M:%S']"
+                add(t, "datetime", c, "parse_ratio", f"count(try_strptime({c}, {formats})) / nullif(CAST(count({c}) AS DOUBLE), 0)", "v >= 0.8")
+            if kind == "time":
+                days = f"date_diff('day', min(CAST({c} AS DATE)), max(CAST({c} AS DATE))) + 1"
+                add(t, "time_range", c, "n_days", days, "false")
+                add(t, "time_gaps", c, "missing_days", f"{days} - count(DISTINCT CAST({c} AS DATE))", "v > 0")
+                spans.append((t, c, f"(SELECT min(CAST({c} AS DATE)) AS low, max(CAST({c} AS DATE)) AS high FROM t_{t})"))
+        add(t, "duplicates", "all", "duplicate_ratio", f"1 - (SELECT count(*) FROM (SELECT DISTINCT * FROM t_{t}) AS y) / CAST(count(*) AS DOUBLE)", "v > 0.01")
+    for c, limit in (("latitude", 90), ("longitude", 180)):
+        add("events", "geo_range", c, "outside_ratio", f"count(*) FILTER (abs({c}) > {limit}) / CAST(count({c}) AS DOUBLE)", "v > 0")
+    add(
+        "events", "geo_duplicates", "latitude,longitude", "duplicate_ratio", "1 - count(*) / CAST(sum(k) AS DOUBLE)", "v > 0.01",
+        source="(SELECT latitude, longitude, count(*) AS k FROM t_events WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2) AS y",
+    )
+    for t, other in (("orders", "customers"), ("customers", "orders")):
+        keys = f"(SELECT DISTINCT custkey FROM t_{t})"
+        add(t, "key_overlap", "custkey", "found_ratio", f"count(*) FILTER (custkey IN (SELECT custkey FROM t_{other})) / CAST(count(*) AS DOUBLE)", "v < 1", f"'{other}'", f"{keys} AS y")
+    for i, (t, c, x) in enumerate(spans):
+        for u, e, y in spans[i + 1 :]:
+            shared = "greatest(0, date_diff('day', greatest(a.low, b.low), least(a.high, b.high)) + 1)"
+            shorter = "least(date_diff('day', a.low, a.high), date_diff('day', b.low, b.high)) + 1"
+            add(t, "time_overlap", f"{c},{e}", "shared_ratio", f"{shared} / CAST({shorter} AS DOUBLE)", "v = 0", f"'{u}'", f"{x} AS a CROSS JOIN {y} AS b")
+    return f"WITH {heads} " + " UNION ALL ".join(rows)
+
+
+_ACTIONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in audit.ACTION_OF_CHECK.items()) + "}"
+
+
+@query("audit_many_tables", "table:s other:s check:s column:s metric:s value:d flagged:b", _audited_sql())
+def audit_many_tables(spark, d):
+    return audit_tables.audit(audited_tables(spark, d))
+
+
+@query(
+    "actions_many_tables",
+    "table:s action:s column:s",
+    f"""SELECT "table", {_ACTIONS}["check"] AS action, "column" FROM ({_audited_sql()}) AS f WHERE flagged AND {_ACTIONS}["check"] IS NOT NULL""",
+)
+def actions_many_tables(spark, d):
+    """Cleaning actions that answer the flagged findings, text columns that hold dates among them."""
+    found = audit_tables.audit(audited_tables(spark, d))
+    answered = found.where(F.col("check").isin(list(audit.ACTION_OF_CHECK)))
+    return audit.recommend(answered, keep=["table"])
