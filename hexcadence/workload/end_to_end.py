@@ -13,13 +13,16 @@ from hexcadence.workload.cleaning import _RENAME, _yearly_variants
 from hexcadence.workload.geo_cells import _repair, cells_sql
 from hexcadence.workload.time_cube import FEATURE_COLS, features_sql
 
-_RES = [2, 3, 4]
+_RES = list(features.RESOLUTIONS)
 _REPAIRED = f"SELECT *, {_repair('latitude')} AS la, {_repair('longitude')} AS lo FROM ({BROKEN_EVENTS}) AS b"
 _PLACED = cells_sql(_RES, _REPAIRED, "la", "lo")
+# The given events lie on a lattice that has no two of them in a cell of level 4: series are counted on level 2.
+_COARSE = [2, *_RES]
+_PLACED_COARSE = cells_sql(_COARSE, _REPAIRED, "la", "lo")
 
 
-def places(spark, d):
-    return features.place_features(broken_events(spark, d), "event_id", "latitude", "longitude", resolutions=_RES)
+def places(spark, d, resolutions=features.RESOLUTIONS):
+    return features.place_features(broken_events(spark, d), "event_id", "latitude", "longitude", resolutions=resolutions)
 
 
 @query(
@@ -33,19 +36,19 @@ def place_features(spark, d):
 
 @query(
     "event_features",
-    "event_id:i cell_res2:s datetime:t month:i weekday:i is_weekend:b month_sin:d hour_cos:d",
+    "event_id:i cell_res4:s datetime:t month:i weekday:i is_weekend:b month_sin:d hour_cos:d",
     f"""
-    SELECT event_id, cell_res2, ts AS datetime, month(ts) AS month, isodow(ts) - 1 AS weekday, isodow(ts) >= 6 AS is_weekend,
+    SELECT event_id, cell_res4, ts AS datetime, month(ts) AS month, isodow(ts) - 1 AS weekday, isodow(ts) >= 6 AS is_weekend,
       sin(2 * pi() * month(ts) / 12e0) AS month_sin, cos(2 * pi() * hour(ts) / 24e0) AS hour_cos FROM ({_PLACED}) AS p
     """,
 )
 def event_features(spark, d):
     times = features.time_features(table(spark, d, "events"), "event_id", timestamp="ts")
-    columns = ["event_id", "cell_res2", "datetime", "month", "weekday", "is_weekend", "month_sin", "hour_cos"]
+    columns = ["event_id", "cell_res4", "datetime", "month", "weekday", "is_weekend", "month_sin", "hour_cos"]
     return features.event_features(times, places(spark, d), "event_id", columns)
 
 
-_CELL_DAYS = f"SELECT cell_res2, {sql_bin('ts', 'daily')} AS time_bin, count(*) AS n FROM ({_PLACED}) AS p GROUP BY 1, 2"
+_CELL_DAYS = f"SELECT cell_res2, {sql_bin('ts', 'daily')} AS time_bin, count(*) AS n FROM ({_PLACED_COARSE}) AS p GROUP BY 1, 2"
 
 
 @query(
@@ -64,7 +67,7 @@ _CELL_DAYS = f"SELECT cell_res2, {sql_bin('ts', 'daily')} AS time_bin, count(*)
 )
 def cell_forecast_features(spark, d):
     times = table(spark, d, "events").select("event_id", F.col("ts").alias("datetime"))
-    joined = features.event_features(times, places(spark, d), "event_id", ["cell_res2", "datetime"])
+    joined = features.event_features(times, places(spark, d, _COARSE), "event_id", ["cell_res2", "datetime"])
     return forecast.feature_table(joined, "cell_res2", "datetime", "daily")
 
 
