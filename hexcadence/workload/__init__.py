@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "time_cube",
+    "sparse_series",
     "geo_cells",
     "resolution_metrics",
     "quality_checks",
