@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil
+from math import ceil, floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexcadence.session import materialise
@@ -170,6 +170,65 @@ def exact_quantiles(
     )
 
 
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of many columns at once: rows (column, prob, quantile); columns without a value have none.
+
+    Rows are never multiplied by columns.  One scan sketches all columns and gives each (column, probability) a bracket
+    that surely holds its rank.  A bracket of one value is that quantile.  For the others a second scan counts what lies
+    below each bracket, and a third sends out the values inside, a few percent.  The driver sees one row of sketches and
+    one of counts: three numbers per column and probability.
+    """
+    columns, probs, k = list(columns), [float(p) for p in probs], len(probs)
+    values = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    at = F.array(*[F.lit(p) for p in [max(p - BRACKET, 0.0) for p in probs] + [min(p + BRACKET, 1.0) for p in probs]])
+    sketches = [
+        F.struct(F.count(v).alias("n"), F.percentile_approx(v, at, F.lit(SKETCH_ACCURACY)).alias("at")).alias(v)
+        for v in values.columns
+    ]
+    sketch = values.agg(F.lit(0), *sketches).first()
+    settled, wanted, below, inside = [], [], [], []
+    for i, c in enumerate(columns):
+        n, at_value, v = sketch[f"_v{i}"].n, sketch[f"_v{i}"]["at"], F.col(f"_v{i}")
+        for j, p in enumerate(probs if n else []):
+            narrow = n >= BRACKETED_ROWS
+            low = at_value[j] if narrow and p - BRACKET > 0 else None
+            high = at_value[k + j] if narrow and p + BRACKET < 1 else None
+            if low is not None and low == high:
+                settled.append((c, p, low))
+                continue
+            position, q = p * float(n - 1), len(wanted)
+            wanted.append((q, c, p, floor(position), ceil(position), position - floor(position)))
+            below.append(F.lit(0).alias(f"_b{q}") if low is None else F.count_if(v < low).alias(f"_b{q}"))
+            within = v.isNotNull() if low is None else v >= low
+            within = within if high is None else within & (v <= high)
+            inside.append(F.when(within, F.struct(F.lit(q).alias("_q"), v.alias("_value"))))
+    spark = df.sparkSession
+    known = spark.createDataFrame(settled, "column string, prob double, quantile double")
+    if not wanted:
+        return known
+    counted = values.agg(F.lit(0), *below).first()
+    asked = spark.createDataFrame(
+        [(q, c, p, lo, hi, part, counted[f"_b{q}"]) for q, c, p, lo, hi, part in wanted],
+        "_q int, column string, prob double, _low bigint, _high bigint, _part double, _below bigint",
+    )
+    picked = values.select(F.explode(F.array_compact(F.array(*inside))).alias("_i")).select("_i._q", "_i._value")
+    hist = materialise(picked.groupBy("_q", "_value").agg(F.count(F.lit(1)).alias("_freq")))
+    ranked = running_totals(hist, "_value", {"_before": "_freq"}, ["_q"])
+    first = F.col("_below") + F.col("_before")
+
+    def value_at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= first) & (F.col(rank) < first + F.col("_freq")), F.col("_value")))
+
+    lower, upper = value_at("_low"), value_at("_high")
+    # A row per column and probability on the broadcast side.
+    found = (
+        ranked.join(F.broadcast(asked), "_q")
+        .groupBy("column", "prob")
+        .agg((lower + (upper - lower) * F.max("_part")).alias("quantile"))
+    )
+    return found.unionByName(known)
+
+
 def kth_smallest(df: DataFrame, value: str, groups: Sequence[str], share: float) -> DataFrame:
     """Per group the value at rank ``round(share * n)``; rows up to it are that share."""
     groups = list(groups)

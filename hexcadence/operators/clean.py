@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hexcadence.session import materialise
+
 log = logging.getLogger(__name__)
 
 # Overseas departments, accepted years, texts that mean null.
@@ -179,15 +181,21 @@ def _mode(df: DataFrame, c: str) -> Column:
     return counts.orderBy(F.desc("_n"), c).limit(1).select(c).scalar()
 
 
-def _median(df: DataFrame, c: str) -> Column:
-    from hexcadence.functions.ranks import exact_quantiles
+def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Exact medians of all columns from one run, as scalars."""
+    from hexcadence.operators.resolution import quantile_table
 
-    return exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, [0.5]).select("quantile").scalar()
+    if not columns:
+        return {}
+    found = materialise(quantile_table(df, columns, {"median": 0.5}))  # a row per column
+    return {c: found.where(F.col("column") == c).select("median").scalar() for c in columns}
 
 
 def impute(df: DataFrame, columns: Sequence[str], strategy: str = "median") -> DataFrame:
     """Fill nulls: numbers by median, mean or zero; texts by mode (or "0" for zero)."""
     fills = {}
+    numbers = [c for c in dict.fromkeys(columns) if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)]
+    medians = _medians(df, numbers) if strategy == "median" else {}
     for c in columns:
         if c not in df.columns:
             continue
@@ -197,7 +205,7 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str = "median") -> D
         elif not numeric:
             fill = _mode(df, c)
         elif strategy == "median":
-            fill = _median(df, c)
+            fill = medians[c]
         elif strategy == "mean":
             fill = df.select(F.avg(c)).scalar()
         else:  # mode is defined for texts only

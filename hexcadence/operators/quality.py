@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexcadence.functions.stats import ratio, unbiased_kurtosis, unbiased_skewness
-from hexcadence.operators.resolution import long_values, quantile_table
+from hexcadence.operators.resolution import long_values, summary_table
 from hexcadence.operators.timebin import time_gaps
 
 # Thresholds and the accepted date formats.
@@ -118,12 +118,13 @@ def numeric_summary(
 ) -> DataFrame:
     """Describe with exact quantiles and bias-corrected skewness and kurtosis, and their flags."""
     columns = list(columns or numeric_columns(df))
-    v = F.col("value")
-    moments = (
-        long_values(df, columns, "double")
-        .where(v.isNotNull() & ~F.isnan(v))
-        .groupBy("column")
-        .agg(
+    clean = df.select(
+        *[F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in columns]
+    )
+
+    def moments(c: str) -> list[Column]:
+        v = F.col(c)
+        return [
             F.count(v).alias("count"),
             F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"),
@@ -131,12 +132,9 @@ def numeric_summary(
             F.max(v).alias("max"),
             unbiased_skewness(v).alias("skewness"),
             unbiased_kurtosis(v).alias("kurtosis"),
-        )
-    )
-    clean = df.select(
-        *[F.when(~is_missing(df, c), F.col(c)).alias(c) for c in columns]
-    )
-    out = moments.join(quantile_table(clean, columns, quantiles), "column")
+        ]
+
+    out = summary_table(clean, columns, quantiles, moments).where(F.col("count") > 0)
     return out.withColumns(
         {
             "skew_flag": F.coalesce(F.abs("skewness") > SKEW_LIMIT, F.lit(False)),

@@ -9,14 +9,14 @@ Two forms give the same numbers:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexcadence.functions import timefn as T
-from hexcadence.functions.ranks import exact_quantiles, running_totals, value_histogram
+from hexcadence.functions.ranks import running_totals, value_histogram, wide_quantiles
 from hexcadence.functions.stats import safe_corr
 from hexcadence.operators import cube
 from hexcadence.session import materialise
@@ -434,9 +434,8 @@ def long_values(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFram
 
 def quantile_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
     """One row per column with the named exact quantiles; no value map is built in one task."""
-    long = long_values(df, columns, "double")
-    q = exact_quantiles(long, "value", list(quantiles.values()), ["column"])
-    return q.groupBy("column").agg(
+    found = wide_quantiles(df, columns, list(quantiles.values()))
+    return found.groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for name, p in quantiles.items()
@@ -444,6 +443,13 @@ def quantile_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, f
     )
 
 
+def summary_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], facts: Callable[[str], list[Column]]) -> DataFrame:
+    """One row per column: ``facts`` (aggregates of it, all from one scan) and its quantiles; none for a frame without rows."""
+    entries = [F.struct(F.lit(c).alias("column"), *facts(c)) for c in columns]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), F.array(*entries).alias("_m")).where("_rows > 0")
+    return row.select(F.inline("_m")).join(quantile_table(df, columns, quantiles), "column", "left")
+
+
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts, range, quantiles and population moments of each column, one row per column.
 
@@ -452,11 +458,10 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = list(columns)
     numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
 
-    def moments(c: str):
+    def moments(c: str) -> list[Column]:
         v = F.col(c)
         spread = F.stddev_pop(v)
-        return F.struct(
-            F.lit(c).alias("column"),
+        return [
             F.count(v).alias("count_clean"),
             F.count_if(v.isNull()).alias("nan_count"),
             F.min(v).alias("min"),
@@ -465,11 +470,9 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             spread.alias("std"),
             F.when(spread > 0, F.skewness(v)).alias("skewness"),
             F.when(spread > 0, F.kurtosis(v)).alias("kurtosis"),
-        )
+        ]
 
-    wide = numbers.agg(F.array(*map(moments, columns)).alias("_m")).select(F.explode("_m").alias("_m")).select("_m.*")
-    found = wide.where("count_clean + nan_count > 0")
-    return found.join(quantile_table(numbers, columns, DESCRIBE_QUANTILES), "column", "left")
+    return summary_table(numbers, columns, DESCRIBE_QUANTILES, moments)
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
