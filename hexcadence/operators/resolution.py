@@ -445,6 +445,9 @@ def quantile_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, f
 
 def summary_table(df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], facts: Callable[[str], list[Column]]) -> DataFrame:
     """One row per column: ``facts`` (aggregates of it, all from one scan) and its quantiles; none for a frame without rows."""
+    if not columns:  # no rows, but the same fields
+        nothing = df.limit(0).select(F.lit(None).cast("double").alias("_none"))
+        return summary_table(nothing, ["_none"], quantiles, facts)
     entries = [F.struct(F.lit(c).alias("column"), *facts(c)) for c in columns]
     row = df.agg(F.count(F.lit(1)).alias("_rows"), F.array(*entries).alias("_m")).where("_rows > 0")
     return row.select(F.inline("_m")).join(quantile_table(df, columns, quantiles), "column", "left")
