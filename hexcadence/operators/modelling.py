@@ -9,14 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexcadence.functions.permute import permuted
 from hexcadence.functions.ranks import dense_index
 from hexcadence.operators import clean, evaluation, splits
 from hexcadence.operators.windows import average_rank
-from hexcadence.session import materialise
+from hexcadence.session import materialise, scratch_path
 
 # Default model parameters and the cap of the class weight.
 LOGISTIC = {"C": 0.1, "l1_ratio": 1.0, "max_iter": 1000}
@@ -128,7 +128,22 @@ def boosted(label: str, preset: str = "regularised", **overrides) -> GBTClassifi
 
 def fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, estimator]).fit(train)
+    return without_summary(Pipeline(stages=[assembler, estimator]).fit(train), train.sparkSession)
+
+
+def without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as it is read back from a file: its stages have no training summary.
+
+    A binary summary holds the session, and a task that predicts takes the whole model along.  Once anything in that session
+    has been observed (``DataFrame.observe``) the session can no longer be serialised, and every prediction would fail.
+    """
+
+    def read_back(stage):
+        path = scratch_path(spark, "model")
+        stage.write().save(path)
+        return type(stage).load(path)
+
+    return PipelineModel(stages=[read_back(s) if getattr(s, "hasSummary", False) else s for s in model.stages])
 
 
 def predict(model: PipelineModel, df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
