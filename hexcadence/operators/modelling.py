@@ -176,7 +176,8 @@ def stack_models(fit_on: DataFrame, apply_to: DataFrame, keys: Sequence[str], mo
     # The usual unit penalty on a summed loss.
     reg = 1.0 / max(wide.count(), 1)
     final = LogisticRegression(labelCol="y_true", regParam=reg, standardization=False)
-    out = Pipeline(stages=[assembler, final]).fit(wide).transform(one_row(apply_to))
+    stacker = without_summary(Pipeline(stages=[assembler, final]).fit(wide), wide.sparkSession)
+    out = stacker.transform(one_row(apply_to))
     return out.select(*keys, "y_true", F.col("prediction").cast("int").alias("y_stacked"))
 
 

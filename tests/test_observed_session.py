@@ -30,3 +30,11 @@ def test_logistic_predictions_leave_the_driver(observed):
     # The coefficients are those that were fitted.
     plain = modelling.Pipeline(stages=[*model.stages[:1], modelling.logistic("label", 200.0)]).fit(df).stages[-1]
     assert model.stages[-1].coefficients == plain.coefficients and model.stages[-1].intercept == plain.intercept
+
+
+def test_stacked_predictions_leave_the_driver(observed):
+    p = (F.col("row_id") % 10) / F.lit(10.0)
+    wide = observed.range(200).withColumnRenamed("id", "row_id").select("row_id", (p + F.col("row_id") % 3 / 10 >= 0.6).cast("int").alias("y_true"), p.alias("y_proba"))
+    both = wide.withColumn("model", F.lit("a")).unionByName(wide.withColumn("model", F.lit("b")))
+    got = modelling.stack_models(both, both, ["row_id"], ["a", "b"]).collect()
+    assert len(got) == 200 and {r.y_stacked for r in got} == {0, 1}
