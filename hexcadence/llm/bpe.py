@@ -322,6 +322,32 @@ def encode(df: DataFrame, text: str, vocab: str, into: str = "tokens", keep: lis
     return map_rows(df, [text], into, TOKENS, make, keep)
 
 
+def round_trip(df: DataFrame, text: str, vocab: str, into: str = "tokens", keep: list[str] | None = None) -> DataFrame:
+    """As ``encode``, with ``text`` beside the ids: what ``decode`` makes of them.
+
+    Both run in one pass of one Python process, so a core holds the vocabulary and a batch once.
+    """
+
+    def make():
+        encoder, decoder = Encoder(vocab), Decoder(vocab)
+
+        def run(texts: list[str | None]) -> pa.Array:
+            packed = encoder.batch(texts)
+            del texts[:]  # a long text is not held beside its tokens and their text
+            return pa.StructArray.from_arrays(
+                [
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array(packed, pa.binary()),
+                    pa.array(map(decoder.text, packed), pa.string(), size=len(packed)),
+                ],
+                names=["n_tokens", "token_ids", "text"],
+            )
+
+        return run
+
+    return map_rows(df, [text], into, T.StructType([*TOKENS, T.StructField("text", T.StringType())]), make, keep)
+
+
 def decode(df: DataFrame, ids: str, vocab: str, into: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``into``: the text of packed ids. Unknown ids give nothing, null ids an empty text, bad bytes U+FFFD."""
 

@@ -27,11 +27,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens_and_text(docs: DataFrame, vocab: str, ids: bool = False) -> DataFrame:
     """Encode ``text``, decode the tokens again; n_tokens, the digests of both, and the packed ids if asked for."""
     others = [c for c in docs.columns if c != "text"]
-    encoded = bpe.encode(docs, "text", vocab, keep=others).select(*others, "tokens.n_tokens", "tokens.token_ids")
-    digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
-    kept = [*others, "n_tokens", *(["token_ids"] if ids else []), "ids_sha256"]
-    decoded = bpe.decode(digested, "token_ids", vocab, into="decoded", keep=kept)
-    return decoded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    coded = bpe.round_trip(docs, "text", vocab, keep=others)
+    return coded.select(
+        *others,
+        "tokens.n_tokens",
+        *(["tokens.token_ids"] if ids else []),
+        F.sha2("tokens.token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("tokens.text").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 # The CRC is one step per byte over the rule-made table; DuckDB's lists count from 1.

@@ -143,3 +143,19 @@ def test_fields(spark, library):
     assert sum(r["section"]["tokens"] for r in out) == pytest.approx(len(library.encode("b\nfr\né漢😀 x").ids))
     null = docs.withColumn("sections", F.expr("IF(doc_id = 6, NULL, sections)"))
     assert tokencounts.attribute(null, "document", PATH, "sections").where("doc_id = 6").count() == 0
+
+
+def test_round_trip_is_encode_and_decode_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "Ünï  code\n\n12"), (2, None), (3, ""), (4, "a" * 5000 + " 're <|endoftext|>")], "doc_id long, text string")
+    once = bpe.round_trip(docs, "text", PATH).select("doc_id", "tokens.*")
+    encoded = bpe.encode(docs, "text", PATH).select("doc_id", "tokens.*")
+    twice = bpe.decode(encoded, "token_ids", PATH)
+    assert once.orderBy("doc_id").collect() == twice.orderBy("doc_id").collect()
+
+
+def test_stage_of_tokens_has_one_python_pass(spark):
+    from hexcadence.llm.workload import tokens_and_text
+
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    plan = tokens_and_text(docs, PATH, ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
